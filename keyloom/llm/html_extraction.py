@@ -40,6 +40,8 @@ NOISE = frozenset("aside audio button canvas dialog footer form head iframe inpu
 MARKS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer form gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar tracking widget".split())
 HEADERS = frozenset(("header", "masthead"))
 CONTENT = frozenset(("article", "main"))
+#: Elements that hold a single block of text and cannot be the content node.
+LEAF = HEADING | frozenset("p li dt dd td th tr caption figcaption legend summary option pre address".split())
 SHARE = 0.9
 
 
@@ -153,7 +155,7 @@ def extract(page: str, spread: float = 0.5) -> str:
     inside = next((e for e in sorted(enough) if e[1] in CONTENT), None)
     if inside:
         return "\n".join(text for _, chain, text in found if inside in chain)
-    node = max(enough, default=None)
+    node = max((e for e in enough if e[1] not in LEAF), default=None)
     if node and node[1] not in ("html", "body"):
         return "\n".join(text for _, chain, text in found if node in chain)
     kept = [i for i, (path, _, _) in enumerate(found) if path in content]
