@@ -17,6 +17,7 @@ similar one, the first of those.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS, BLOCK_BITS = 8, 8
-#: Benchmarks of at most so many shingles are searched as a set of constants, larger ones by a join.
-CONSTANTS = 50_000
+#: Shingles of the benchmark that are sent to all tasks at most (8 MB); more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def _words(text: str) -> F.Column:
@@ -71,26 +72,16 @@ def _blocks(fp: str, changes: list[int]) -> F.Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
-    """Documents' words with the places of shingles that some item has: rid, words, size, places (hash, position)."""
-    constants = items.select("size", F.explode("hashes").alias("h")).distinct()
-    parts = []
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most as many as words in a shingle
-    for size in sizes:
-        own = constants.where(F.col("size") == size).select("h")
-        hashed = docs.where(F.size("words") >= size).select("rid", "words", F.lit(size).alias("size"), _hashes("words", size).alias("hashes"))
-        found = own.limit(CONSTANTS + 1).collect()
-        if len(found) <= CONSTANTS:
-            among = f"h IN ({', '.join(f'{r[0]}L' if r[0] > -(2**63) else 'cast(-9223372036854775808 as bigint)' for r in found)})"
-            places = F.expr(f"filter(transform(hashes, (h, i) -> CASE WHEN {among} THEN named_struct('h', h, 'p', i) END), x -> x IS NOT NULL)")
-            parts.append(hashed.select("rid", "words", "size", places.alias("places")).where(F.size("places") > 0))
-        else:
-            spread = hashed.select("rid", "size", F.posexplode("hashes").alias("p", "h")).join(own, "h", "left_semi")
-            near = spread.groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("h", "p"))).alias("places"))
-            parts.append(near.join(docs, "rid").select("rid", "words", "size", "places"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """Where documents have shingles of some item: row, size, h (hash), p (position)."""
+    known = items.select("size", F.explode("hashes").alias("h")).distinct()
+    spread = []
+    for size in range(1, shingle + 1):
+        own = known.where(F.col("size") == size).select("h")
+        n = own.limit(BROADCAST + 1).count()
+        if n:
+            runs = docs.where(F.size("words") >= size).select("row", F.lit(size).alias("size"), F.posexplode(_hashes("words", size)).alias("p", "h"))
+            spread.append(runs.join(F.broadcast(own) if n <= BROADCAST else own, "h", "left_semi").select("row", "size", "h", "p"))
+    return reduce(DataFrame.union, spread)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -104,20 +95,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     if not items.take(1):
         kinds = {c: docs.schema[doc_id].dataType.simpleString() if c == "doc_id" else items.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start int, n_words int, distance int, similarity double")
-    listed = docs.select(F.col(doc_id).alias("rid"), _words(text).alias("words"))
+    listed = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text")).alias("row"), _words(text).alias("words"))
 
     # windows that share enough shingles with an item of their length
-    hits = common.stored(_hits(listed, items, shingle).select(F.expr("uuid()").alias("row"), "*"), "decontamination-hits")
+    hits = common.stored(_hits(listed, items, shingle), "decontamination-hits")
     of_item = items.select("item_id", "size", "length", F.explode(F.array_distinct("hashes")).alias("h"))
-    shared = hits.select("row", "size", F.explode("places").alias("x")).select("row", "size", "x.h", "x.p").join(of_item, ["size", "h"])
+    shared = hits.join(of_item, ["size", "h"])
     places = shared.groupBy("row", "item_id", "size", "length").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     n = F.col("length") - F.col("size") + 1
     places = places.withColumn("least", F.greatest(F.ceil(n * similarity - 1e-9).cast("int"), F.lit(1))).where("size(ps) >= least")
     spans = F.expr("filter(transform(sequence(0, size(ps) - least), i -> named_struct('low', greatest(ps[i + least - 1] - (length - size), 0), 'high', ps[i])), x -> x.low <= x.high)")
     starts = F.explode(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))))
     found = places.select("row", "length", "size", starts.alias("start")).distinct()
-    windows = found.join(hits.select("row", "rid", "words"), "row").where("start + length <= size(words)")
-    windows = windows.select("rid", "length", "size", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
+    windows = listed.join(found.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at"))).where("start + length <= size(words)")
+    windows = windows.select(F.col("row.id").alias("rid"), "length", "size", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
     windows = common.stored(windows.withColumn("content", F.sha2(F.array_join("window", " "), 256)), "decontamination-windows")
 
     # fingerprints of different windows and items meet in blocks

@@ -99,7 +99,7 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> np.ndarray
     return posterior
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 500) -> np.ndarray:
     """Logistic regression on soft labels; the last weight is the intercept, which is not shrunk.
 
     Newton steps under the curvature's upper bound, which never overshoot.
