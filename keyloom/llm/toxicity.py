@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
-LETTERS = (4, 5, 6)
+#: Voters that correlate more than this within a class count as repeating each other.
+REPEATS = 0.6
+LETTERS = (4, 5, 6, 7)
 #: Fixed patterns: name, expression, how many places make it speak.
 PATTERNS = [("shouting", re.compile(r"!!(?=\s)"), 5), ("table", re.compile(r" \| "), 5), ("symbols", re.compile(r"(?:###|%%%|\$\$\$|&&&|\*\*\*)(?=\s)"), 5)]
 
@@ -74,28 +76,35 @@ def _votes(names: list[str], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["votes"])
 
 
-def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> np.ndarray:
-    """Posterior probability of the toxic class for rows of votes (0 or 1).
+def label_model(votes: np.ndarray, share: float, rounds: int = 20) -> np.ndarray:
+    """Posterior probability of the toxic class for rows of votes (1: the voter speaks, 0: it abstains).
 
-    The starting point is that voters mostly speak on the toxic class; fixed patterns start
-    undecided. Correlations between voters within a class divide their weight.
+    share: of toxic rows. A voter's accuracy is the mean posterior of the rows on which it speaks,
+    by what the other voters say of them where any does; correlations between voters within a
+    class divide their weight. Rows without a word's vote share what the class balance leaves. The
+    last voters, the fixed patterns, start undecided.
     """
     x = votes.astype(np.float64)
-    spoken = x[:, : -len(PATTERNS)].sum(1)
-    posterior = np.where(spoken > 0, 0.9, 0.02)
-    weight = np.ones(x.shape[1])
+    spoken = x[:, : -len(PATTERNS)].any(1)
+    prior = np.log(share / (1 - share))
+    posterior = np.where(spoken, 0.9, 0.0)
+    accuracy, weight = np.full(x.shape[1], 0.9), np.ones(x.shape[1])
+    accuracy[-len(PATTERNS) :] = share
     for i in range(rounds):
-        mass = np.stack([1 - posterior, posterior])
-        rate = (mass @ x + 0.5 * x.mean(0)) / (mass.sum(1, keepdims=True) + 0.5)
-        rate = np.clip(rate, 1e-5, 1 - 1e-5)
+        silent = np.clip((share * len(x) - posterior[spoken].sum()) / max(1, (~spoken).sum()), 1e-3, share)
+        evidence = weight * (np.log(accuracy / (1 - accuracy)) - prior)
+        logit = np.where(spoken, prior, np.log(silent / (1 - silent))) + x @ evidence
+        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        others = 1 / (1 + np.exp(-np.clip(logit[:, None] - evidence, -30, 30)))
+        alone = x.sum(1) == 1
+        others[alone] = np.where(x[alone] > 0, accuracy, others[alone])
+        accuracy = np.clip((x * others).sum(0) / np.maximum(x.sum(0), 1), 0.01, 0.99)
         if i in (3, 10):  # what correlates beyond the class
-            rest = x - (mass.T @ rate)
+            mass = np.stack([1 - posterior, posterior])
+            rest = x - mass.T @ ((mass @ x) / np.maximum(mass.sum(1, keepdims=True), 1))
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            correlation = np.clip((rest / scale).T @ (rest / scale) / len(x), 0, 1)
-            weight = 1 / np.maximum(correlation.sum(0), 1)
-        logs = np.log(rate[1]) - np.log(rate[0]), np.log1p(-rate[1]) - np.log1p(-rate[0])
-        logit = np.log(share / (1 - share)) + (x * logs[0] + (1 - x) * logs[1]) @ weight
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            correlation = (rest / scale).T @ (rest / scale) / len(x)
+            weight = 1 / np.maximum(np.where(correlation > REPEATS, correlation, 0).sum(0), 1)
     return posterior
 
 
@@ -127,15 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int, voters: int, inputs
         return [], np.array([30.0 if toxic else -30.0])
     share = toxic / (clean + toxic)
     counts = rows.mapInArrow(_count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"clean + toxic >= {max(3, (clean + toxic) // 5000)}")
-    a, b = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
-    odds = F.log(a / (1 - a)) - F.log(b / (1 - b))
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    scored = counts.where((F.col("clean") < clean) & (F.col("toxic") < toxic)).withColumns({"odds": odds, "z": z})
-    table = scored.orderBy(F.desc(F.abs("z")), "feature").limit(inputs).toPandas()
+    # the likelihood ratio of presence on the two classes; unlike a z-score it stands words that one class never has
+    n = clean + toxic
+    a, b = F.col("toxic"), F.col("clean")
+    cells = ((a, toxic), (b, clean), (toxic - a, toxic), (clean - b, clean))
+    shares = (a + b, a + b, n - a - b, n - a - b)
+    ratio = sum((F.when(x > 0, x * F.log(x * n / (m * s))).otherwise(0.0) for (x, m), s in zip(cells, shares, strict=True)), F.lit(0.0))
+    odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
+    table = counts.where("clean + toxic < " + str(n)).withColumns({"odds": odds, "ratio": ratio}).orderBy(F.desc("ratio"), "feature").limit(inputs).toPandas()
     names = table["feature"].tolist()
     packed = rows.mapInArrow(partial(_votes, names), "votes binary").toPandas()["votes"]
     bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, : len(names) + len(PATTERNS)]
-    lexicon = [i for i in table.index if table["odds"][i] > 2 and table["z"][i] > 3][:voters]
+    lexicon = [i for i in table.index if table["toxic"][i] > 9 * table["clean"][i] and table["ratio"][i] > 8][:voters]
     posterior = label_model(np.c_[bits[:, lexicon], bits[:, len(names) :]], share)
     return names, fit_linear(bits[:, : len(names)], posterior)
 
