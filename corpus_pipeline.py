@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import common
+from keyloom.llm.decontamination import decontamination_stage
+from keyloom.llm.line_dedup import line_stage
+from keyloom.llm.packing import packing_stage
+from keyloom.llm.quality_resampling import quality_stage
+from keyloom.llm.simhash_dedup import simhash_stage
 
-STAGES: list = []
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near-copies", simhash_stage), ("benchmark", decontamination_stage), ("packing", packing_stage)]
 #: No SQL can express the stages.
 ORACLE_SQL = None
 

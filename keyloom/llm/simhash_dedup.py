@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
 def masks(radius: int, step: int = 1) -> list[int]:
     """The tables' masks as signed integers; step deals the vectors out to the positions in another order."""
     last = 2 ** (radius + 1) - 1
-    vectors = [(i * step) % BITS % last + 1 for i in range(BITS)]
+    # beyond 63 vectors, those with a fixed leading one: then every mask keeps half of the bits or all
+    vectors = [(i * step) % BITS % last + 1 if last < BITS else (i * step) % BITS + BITS for i in range(BITS)]
     out = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, last + 1)]
     return np.array(out, np.uint64).view(np.int64).tolist()
 
@@ -147,6 +148,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id:
     return slim.join(labels, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingle_set(text: str, shingle: int) -> set[bytes]:
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ids of documents that are not the first of their component and whose shingles' Jaccard similarity with the first reaches similarity."""
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets = ((_shingle_set(x, shingle), _shingle_set(y, shingle)) for x, y in zip(a, b, strict=True))
+        return pd.Series([len(x & y) / len(x | y) for x, y in sets], dtype="float64")
+
+    found = near_duplicates(docs, shingle, radius, doc_id, text).where("doc_id != component_id").select("doc_id", "component_id").distinct()
+    found = common.stored(found, "simhash-members")
+    texts = docs.select(F.col(doc_id).alias("id"), common.text_of(text).alias("text"))
+    both = found.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "component_id", F.col("text").alias("own"))
+    both = both.join(texts, F.col("component_id") == F.col("id")).select("doc_id", jaccard("own", "text").alias("similarity"))
+    return both.where(F.col("similarity") >= similarity).select("doc_id").distinct()
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of near copies the document with the smallest id stays."""
+    copies = common.cut(near_copies(docs).select(F.col("doc_id").alias("copy_id")))
+    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
