@@ -81,7 +81,7 @@ def compressed_batches(df: DataFrame, key: list[str], max_bytes: int, level: int
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_first() for c in key]
-    rows = df.select(F.to_json(F.struct(*key)).alias("k"), F.to_json(F.struct(*df.columns)).alias("line"), *key).repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "line")
+    rows = df.select(F.to_json(F.struct(*key)).alias("_key"), F.to_json(F.struct(*df.columns)).alias("_line"), *key).repartitionByRange(n, *order).sortWithinPartitions(*order).select("_key", "_line")
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[str] = []
@@ -92,7 +92,7 @@ def compressed_batches(df: DataFrame, key: list[str], max_bytes: int, level: int
             return pd.DataFrame([{"lo": keys[0], "hi": keys[-1], "n": len(keys), "payload": zlib.compress("\n".join(lines).encode(), level)}])
 
         for part in parts:
-            for k, line in zip(part["k"], part["line"], strict=True):
+            for k, line in zip(part["_key"], part["_line"], strict=True):
                 more = packer.compress(line.encode() + b"\n") + packer.flush(zlib.Z_SYNC_FLUSH)
                 if keys and size + len(more) + 8 > max_bytes:
                     yield out()
