@@ -132,9 +132,9 @@ def pack(docs: DataFrame, ranks: str, window: int = 2048, close: int = 1, end_id
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal used
-            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 5
-            sequence, offset, made = best_fit_decreasing(columns[2], window)
-            yield from pa.Table.from_arrays([pa.array(c) for c in (*columns, base + used + sequence, offset)], [c.split()[0] for c in SCHEMA.split(", ")]).to_batches(50_000)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
+            sequence, offset, made = best_fit_decreasing(columns[2].to_numpy(), window)
+            yield from pa.Table.from_arrays([*columns, pa.array(base + used + sequence), pa.array(offset)], [c.split()[0] for c in SCHEMA.split(", ")]).to_batches(50_000)
             used += made
             rows.clear()
 
