@@ -153,6 +153,12 @@ def keyset_page(spark, d):
     return orders(spark, d).keys(hi=500, reverse=True, max=5)
 
 
+@query("select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 1")
+def get_many(spark, d):
+    keys = spark.range(1, 10**7, 3).select(F.col("id").alias("o_orderkey"))
+    return orders(spark, d).get_many(keys).select("o_orderkey", "o_totalprice")
+
+
 @query("select c_mktsegment, c_custkey, row_number() over (order by c_mktsegment, c_custkey) pos from customer")
 def idx_pairs(spark, d):
     index = _by_segment(spark, d)
