@@ -33,23 +33,31 @@ SEED = 42
 BUCKET = 4096
 
 
-def simhash(text: str, shingle: int) -> int:
-    """The fingerprint of a whole text: the bits set in over half of its shingles' hashes."""
+def _shingles(text: str, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The words joined by single spaces, and a hash of each shingle in turn (none without words)."""
     words = text.encode().lower().split()  # of bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return b"", np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, stops[:-1] + 1]
     last = max(0, len(words) - shingle)
     spans = zip(starts[: last + 1].tolist(), stops[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return joined, np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str, shingle: int) -> int:
+    """The fingerprint of a whole text: the bits set in over half of its shingles' hashes."""
+    return _majority(_shingles(text, shingle)[1])
+
+
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer."""
 
@@ -148,25 +156,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id:
     return slim.join(labels, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text: str, shingle: int) -> set[bytes]:
-    words = text.encode().lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs: doc_id, text. doc_id, node (128 bits of the words) and fp."""
 
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            nodes, fps = [], []
+            for text in part.column(1).to_pylist():
+                joined, hashes = _shingles(text, shingle)
+                nodes.append(xxhash.xxh3_128_digest(joined))
+                fps.append(_majority(hashes))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "node", "fp"])
 
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of documents that are not the first of their component and whose shingles' Jaccard similarity with the first reaches similarity."""
+    return docs.mapInArrow(task, "doc_id long, node binary, fp long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node and its distinct shingles' hashes in order. docs: doc_id, text; wanted: node, first_id (of a row with its words)."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            nodes, sets = [], []
+            for node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                joined, hashes = _shingles(text, shingle)
+                if xxhash.xxh3_128_digest(joined) == node:  # rows with equal ids may differ
+                    nodes.append(node)
+                    sets.append(np.unique(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    rows = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text").mapInArrow(task, "node binary, hashes binary")
+    return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a, b whose sets' Jaccard similarity reaches similarity."""
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = ((_shingle_set(x, shingle), _shingle_set(y, shingle)) for x, y in zip(a, b, strict=True))
-        return pd.Series([len(x & y) / len(x | y) for x, y in sets], dtype="float64")
-
-    found = near_duplicates(docs, shingle, radius, doc_id, text).where("doc_id != component_id").select("doc_id", "component_id").distinct()
-    found = common.stored(found, "simhash-members")
-    texts = docs.select(F.col(doc_id).alias("id"), common.text_of(text).alias("text"))
-    both = found.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "component_id", F.col("text").alias("own"))
-    both = both.join(texts, F.col("component_id") == F.col("id")).select("doc_id", jaccard("own", "text").alias("similarity"))
-    return both.where(F.col("similarity") >= similarity).select("doc_id").distinct()
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pd.Series(out, dtype="float64")
+
+    own, other = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(own, "a").join(other, "b").where(jaccard("of_a", "of_b") >= similarity).select("a", "b")
+
+
+def joined_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect whatever such pairs do; sets with equal labels are connected already."""
+    labels, sizes, out = np.unique(labels, return_inverse=True)[1], np.array([len(x) for x in sets]), []
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    words, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = owner[np.argsort(where, kind="stable")]
+    ends = np.cumsum(np.bincount(where, minlength=len(words)))
+    starts = np.r_[0, ends[:-1]]
+    at = np.split(where, np.cumsum(sizes)[:-1])
+    for i in range(len(sets)):
+        if (labels[i:] == labels[i]).all():  # of the pairs that are left, none has two labels
+            break
+        n = ends[at[i]] - starts[at[i]]
+        upto = np.cumsum(n)
+        both = np.bincount(owner[np.repeat(starts[at[i]] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)], minlength=len(sets))
+        near = np.flatnonzero((both / np.maximum(1, sizes + sizes[i] - both) >= similarity) & (labels != labels[i]))
+        for label, j in {labels[j]: j for j in near.tolist()}.items():
+            out.append((i, j))
+            labels[labels == label] = labels[i]
+    return out
+
+
+def _similar_within(members: DataFrame, similarity: float) -> DataFrame:
+    """members: key, node, label, hashes. Links a, b that connect what is similar within each key."""
+
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].tolist()
+        found = joined_sets([np.frombuffer(x, np.uint64) for x in group["hashes"]], group["label"].to_numpy(), similarity)
+        return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=object)
+
+    return members.groupBy("key").applyInPandas(task, "a binary, b binary")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ids of documents that similar pairs connect with a smaller id. A pair is similar if its shingles' Jaccard similarity reaches similarity.
+
+    Equal texts are one node. Candidates are the nodes of one bucket, a component of fingerprints
+    within the radius. Within a bucket every pair is compared that
+    others have not connected: first all with one member, then, in the buckets that this left
+    in parts, each member with all others in one task, which yields links, never all pairs.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"))
+    slim = common.stored(_sketches(rows, shingle), "near-sketches")
+    nodes = common.stored(slim.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "near-nodes")
+    close = graph.components(links(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    # a component is named by its fingerprint; fingerprints that several nodes share are components, too
+    members = nodes.join(close, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
+    buckets = buckets.groupBy("n", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "leader")  # equal buckets once
+    members = common.stored(members.join(buckets, "key"), "near-buckets")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id")
+    sets = common.stored(_sets(rows, wanted, shingle), "near-sets")
+    pairs = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    similar = common.stored(_similar(pairs, sets, similarity), "near-links")
+    roots = graph.components(similar)
+    labelled = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    labelled = common.stored(labelled, "near-labels")
+    parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    more = _similar_within(labelled.join(parted, "key").join(sets, "node"), similarity)
+    roots = graph.components(similar.union(more))
+    of_node = common.stored(nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "near-roots")
+    least = of_node.groupBy("root").agg(F.min("first_id").alias("keep_id"))
+    return slim.select("doc_id", "node").join(of_node.join(least, "root").select("node", "keep_id"), "node").where("doc_id != keep_id").select("doc_id").distinct()
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,30 @@ def test_near_copies_keep_what_differs(spark):
     rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "something else"), (None, "n"), (4, None), (5, "")], "doc_id long, text string")
     assert [r.doc_id for r in simhash_dedup.near_copies(rows).orderBy("doc_id").collect()] == [2, 5]
     assert simhash_dedup.simhash_stage(spark, rows.withColumn("lang", F.lit("x")), "").count() == 4
+
+
+def test_near_copies_beside_an_unlike_first(spark):
+    r = random.Random(1)
+    while True:  # fingerprints within the radius, texts less than 0.8 similar
+        a = [f"w{r.random()}" for _ in range(60)]
+        b = a[: 60 - 9] + [f"v{r.random()}" for _ in range(9)]
+        if (simhash_dedup.simhash(" ".join(a), 5) ^ simhash_dedup.simhash(" ".join(b), 5)).bit_count() <= 6:
+            break
+    rows = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash_dedup.near_copies(rows).collect()] == [3]
+
+
+def test_joined_sets_compare_all_pairs():
+    r = np.random.default_rng(5)
+    base = [np.sort(r.choice(10**6, 40, replace=False)).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.r_[r.choice(base[i % 6], 38, replace=False), r.integers(10**6, 2 * 10**6, 2).astype(np.uint64)]) for i in range(60)]
+    links = simhash_dedup.joined_sets(sets, np.arange(60), 0.8)
+    root = list(range(60))
+    for a in range(60):
+        for b in range(60):
+            if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8:
+                root = [root[a] if x == root[b] else x for x in root]
+    got = list(range(60))
+    for a, b in links:
+        got = [got[a] if x == got[b] else x for x in got]
+    assert len({*zip(root, got)}) == len(set(root)) == len(set(got)) < 60
