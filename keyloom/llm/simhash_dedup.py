@@ -31,6 +31,8 @@ from . import common, graph
 BITS = 64
 SEED = 42
 BUCKET = 4096
+#: Bands of least shingles and values in each: a pair of similarity J shares a bucket with probability 1 - (1 - J ** ROWS) ** BANDS, 0.998 at 0.8.
+BANDS, ROWS = 16, 5
 
 
 def _shingles(text: str, shingle: int) -> tuple[bytes, np.ndarray]:
@@ -156,19 +158,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id:
     return slim.join(labels, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Multipliers that order the shingles' hashes anew, one for each value of a band.
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """For each band, one hash of the least shingles under its orders; equal with probability J ** ROWS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        block = hashes[i : i + 4096]
+        np.minimum(least, [(block * m).min() for m in _ORDERS.ravel()], out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs: doc_id, text. doc_id, node (128 bits of the words) and fp."""
+    """docs: doc_id, text. doc_id, node (128 bits of the words), fp and keys (of the bands)."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            nodes, fps = [], []
+            nodes, fps, keys = [], [], []
             for text in part.column(1).to_pylist():
                 joined, hashes = _shingles(text, shingle)
                 nodes.append(xxhash.xxh3_128_digest(joined))
                 fps.append(_majority(hashes))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "node", "fp"])
+                keys.append(bands(hashes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
 
-    return docs.mapInArrow(task, "doc_id long, node binary, fp long")
+    return docs.mapInArrow(task, "doc_id long, node binary, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -240,17 +256,18 @@ def _similar_within(members: DataFrame, similarity: float) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of documents that similar pairs connect with a smaller id. A pair is similar if its shingles' Jaccard similarity reaches similarity.
 
-    Equal texts are one node. Candidates are the nodes of one bucket, a component of fingerprints
-    within the radius. Within a bucket every pair is compared that
+    Equal texts are one node. Candidates are the nodes of one bucket: a component of fingerprints
+    within the radius, or a band of least shingles. Within a bucket every pair is compared that
     others have not connected: first all with one member, then, in the buckets that this left
     in parts, each member with all others in one task, which yields links, never all pairs.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"))
     slim = common.stored(_sketches(rows, shingle), "near-sketches")
-    nodes = common.stored(slim.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "near-nodes")
+    nodes = common.stored(slim.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-nodes")
     close = graph.components(links(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     # a component is named by its fingerprint; fingerprints that several nodes share are components, too
-    members = nodes.join(close, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+    of_fp = nodes.join(close, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+    members = nodes.select("node", F.explode("keys").alias("key")).union(of_fp)
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "leader")  # equal buckets once
     members = common.stored(members.join(buckets, "key"), "near-buckets")

@@ -188,6 +188,15 @@ def test_near_copies_keep_what_differs(spark):
     assert simhash_dedup.simhash_stage(spark, rows.withColumn("lang", F.lit("x")), "").count() == 4
 
 
+def test_near_copies_are_verified_on_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    links = [" ".join(words[i:] + [f"v{j}" for j in range(i)]) for i in (0, 4, 8, 12)]  # a chain: similar to the next only
+    rows = spark.createDataFrame([(1, "quite another text of more than five words"), (2, "Two equal texts of more than five words"), (3, "two equal texts of  more than five words"), *enumerate(links, 4), (9, links[3])], "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in links]
+    assert [len(a & b) / len(a | b) >= 0.8 for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))] == [True, True, False]
+    assert [r.doc_id for r in simhash_dedup.near_copies(rows).orderBy("doc_id").collect()] == [3, 5, 6, 7, 9]
+
+
 def test_near_copies_beside_an_unlike_first(spark):
     r = random.Random(1)
     while True:  # fingerprints within the radius, texts less than 0.8 similar
@@ -199,6 +208,18 @@ def test_near_copies_beside_an_unlike_first(spark):
     assert [r.doc_id for r in simhash_dedup.near_copies(rows).collect()] == [3]
 
 
+def test_bands_reach_similar_texts():
+    r = np.random.default_rng(9)
+    met = 0
+    for _ in range(500):
+        n = int(r.integers(60, 300))
+        shared, out = r.integers(0, 2**64, n, dtype=np.uint64), n // 9  # J of about 0.8
+        a, b = (np.r_[shared[out:], r.integers(0, 2**64, out // 2 + 1, dtype=np.uint64)] for _ in range(2))
+        assert 0.78 < (n - out) / (n - out + 2 * (out // 2 + 1)) < 0.92
+        met += (simhash_dedup.bands(a) == simhash_dedup.bands(b)).any()
+    assert met >= 490
+
+
 def test_joined_sets_compare_all_pairs():
     r = np.random.default_rng(5)
     base = [np.sort(r.choice(10**6, 40, replace=False)).astype(np.uint64) for _ in range(6)]
