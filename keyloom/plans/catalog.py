@@ -155,7 +155,7 @@ def keyset_page(spark, d):
 
 @query("select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 1")
 def get_many(spark, d):
-    keys = spark.range(1, 10**7, 3).select(F.col("id").alias("o_orderkey"))
+    keys = orders(spark, d).keys().where("o_orderkey % 3 = 1")
     return orders(spark, d).get_many(keys).select("o_orderkey", "o_totalprice")
 
 
