@@ -46,6 +46,14 @@ def test_base_scores_and_counts(docs):
     assert lm_scoring.score(docs.limit(0).withColumn("held_out", F.lit(False)), RANKS).count() == 0
 
 
+def test_a_word_of_many_subwords(spark):
+    word = "".join(random.Random(1).choice("qxzjkv0123456789") for _ in range(150_000))
+    rows = spark.createDataFrame([(1, "a few words", False), (2, f"with {word} inside", False)], "doc_id long, text string, held_out boolean")
+    n = len(lm_scoring.subwords(["with", word, "inside"], RANKS)[0]) + 1
+    assert n > 65_535 + 3
+    assert {r.doc_id: r.n_subwords for r in lm_scoring.score(rows, RANKS).collect()} == {1: 4, 2: n}
+
+
 def small_model():
     r = np.random.default_rng(0)
     n = 12
