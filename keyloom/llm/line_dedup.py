@@ -1,87 +1,70 @@
-"""Line deduplication by prefix doubling over line ids.
-
-The documents, in order of id, are one sequence of lines; lines without words take no part. Level
-k ranks all runs of 2**k lines that occur more than once: a run of twice the length is a pair of
-ranks, pairs are counted, and the pairs that repeat are ranked in order by a distributed sort, as
-in the construction of a suffix array. The runs of one rank share a prefix of that length and are
-one longest-common-prefix interval; the first of them is the copy that stays. From each line the
-longest such interval in which it is not first names its source; comparing ranks at the lower
-levels, from the top down, extends the match to the full common prefix of both. Lines of matches
-with at least min_words words are deleted.
-
-Lines are compared with each run of white space as one space, trimmed. A line is deleted only if
-an equal run of lines stands earlier, within its own or another document. Null texts stay null,
-empty ones empty. Rows with equal ids count as different documents, in the order in which they are read;
-null ids come first. A text whose lines all go becomes empty.
+"""Line deduplication by the shortest windows that are long enough.
+
+Lines without words take no part. A line goes if it lies in a run of lines with at least min_words
+words of which an equal run stands earlier, within its own or another document. Parts of such a
+run stand earlier, too, so it is enough to look at windows that are just long enough: from each
+line onwards, and from each line backwards. Together they cover every run of min_words words: a
+line with fewer words than that both before and after it in the run lies in the window from the
+run's start. Whether a window is shortest depends on its own lines only, so that equal runs are
+windows wherever they stand, all copies have one hash, and the first of them stays.
+
+Lines are compared with each run of white space as one space, trimmed; runs are told apart by 128-bit
+hashes. Null texts stay null, empty ones empty. Rows with equal ids count as different documents, in
+the order in which they are read; null ids come first. A text whose lines all go becomes empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
 
-def _in_order(pairs: DataFrame) -> DataFrame:
-    """Adds rank to distinct pairs (a, b), in their order: a range for each task, and the ranges' offsets."""
-    spark = pairs.sparkSession
-    ranged = pairs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b").withColumn("part", F.spark_partition_id())
-    ranged = common.stored(ranged, "line-pairs")
-    sizes = ranged.groupBy("part").count().orderBy("part").collect()
-    offsets, total = [], 0
-    for part, n in sizes:
-        offsets.append((part, total))
-        total += n
-    offset = spark.createDataFrame(offsets, "part int, offset long")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("a", "b"))
-    return ranged.join(F.broadcast(offset), "part").withColumn("rank", F.col("offset") + within).drop("part", "offset")
-
-
-def _level(runs: DataFrame) -> DataFrame:
-    """runs: at, no, a, b. Those whose pair repeats, with its rank and the first place (src, src_no)."""
-    pairs = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("at", "no")).alias("first")).where("n > 1").select("a", "b", "first")
-    ranked = common.cut(_in_order(pairs))
-    return common.stored(runs.join(ranked, ["a", "b"]).select("at", "no", "rank", F.col("first.at").alias("src"), F.col("first.no").alias("src_no")), "line-runs")
-
-
-def _lines(text: str) -> F.Column:
-    """Lines with words: their number in the text, hash and words."""
-    plain = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(F.regexp_replace(x, common.SPACE, " ")).alias("plain")))
-    return F.transform(F.filter(plain, lambda x: x["plain"] != ""), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["plain"]).alias("a"), F.xxhash64(F.lit(1), x["plain"]).alias("b"), F.size(F.split(x["plain"], " ")).alias("words")))
+def windows(text: str, min_words: int) -> list[tuple[bytes, list[int]]]:
+    """The hash of each shortest run of lines with min_words words, and its lines' numbers in the text."""
+    lines, plain, ends = [], [], [0]
+    for n, line in enumerate(text.encode().split(b"\n")):
+        words = line.split()  # of bytes: ASCII white space only
+        if words:
+            lines.append(n)
+            plain.append(b" ".join(words))
+            ends.append(ends[-1] + len(words))
+    spans, a = {}, 0
+    for b in range(len(lines)):  # the window backwards from b
+        while ends[b + 1] - ends[a + 1] >= min_words and a < b:
+            a += 1
+        if ends[b + 1] - ends[a] >= min_words:
+            spans[a, b] = None
+    b = 0
+    for a in range(len(lines)):  # the window onwards from a
+        b = max(a, b)
+        while b < len(lines) and ends[b + 1] - ends[a] < min_words:
+            b += 1
+        if b == len(lines):
+            break
+        spans[a, b] = None
+    return [(xxhash.xxh3_128_digest(b"\n".join(plain[a : b + 1])), lines[a : b + 1]) for a, b in spans]
 
 
 def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """docs: at (unique, in order of the documents), text. Returns at and removed, the numbers of lines to delete, for documents with any."""
-    lines = common.stored(docs.select("at", F.posexplode(_lines("text")).alias("no", "x")).select("at", "no", "x.*"), "lines")
-    levels = [_level(lines.select("at", "no", "a", "b"))]
-    while levels[-1].take(1):
-        one, two = levels[-1], levels[-1].select("at", F.col("no").alias("next"), F.col("rank").alias("b"))
-        width = 2 ** (len(levels) - 1)
-        doubled = one.select("at", "no", F.col("rank").alias("a"), (F.col("no") + width).alias("next")).join(two, ["at", "next"]).select("at", "no", "a", "b")
-        levels.append(_level(doubled))
-    matches = None
-    for k in range(len(levels) - 2, -1, -1):
-        level = levels[k]
-        if matches is not None:  # lengthen by 2**k where the runs that follow have the same rank
-            here = level.select("at", F.col("no").alias("end"), "rank")
-            there = level.select(F.col("at").alias("src"), F.col("no").alias("src_end"), F.col("rank").alias("src_rank"))
-            ends = matches.withColumns({"end": F.col("no") + F.col("n"), "src_end": F.col("src_no") + F.col("n")})
-            same = ends.join(here, ["at", "end"], "left").join(there, ["src", "src_end"], "left")
-            matches = same.select("at", "no", "src", "src_no", (F.col("n") + F.when(F.col("rank") == F.col("src_rank"), 2**k).otherwise(0)).alias("n"))
-        own = level.where("at != src OR no != src_no").select("at", "no", "src", "src_no", F.lit(2**k).alias("n"))
-        matches = own if matches is None else matches.union(own.join(matches, ["at", "no"], "left_anti"))
-        matches = common.cut(matches)
-    if matches is None:
-        return docs.select("at", F.array().cast("array<int>").alias("removed")).limit(0)
-    # words of a match from running sums; the lines of the long enough ones go
-    sums = lines.select("at", "no", "line", F.sum("words").over(Window.partitionBy("at").orderBy("no")).alias("upto"), "words")
-    spans = matches.select("at", "no", (F.col("no") + F.col("n") - 1).alias("last"))
-    spans = spans.join(sums.select("at", "no", (F.col("upto") - F.col("words")).alias("before")), ["at", "no"]).join(sums.select("at", F.col("no").alias("last"), "upto"), ["at", "last"]).where(F.col("upto") - F.col("before") >= min_words)
-    spans = spans.groupBy("at", "no").agg(F.max("last").alias("last"))
-    covered = sums.join(spans, ["at", "no"], "left").withColumn("reach", F.max("last").over(Window.partitionBy("at").orderBy("no")))
-    return covered.where("reach >= no").groupBy("at").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+
+    @F.pandas_udf("array<struct<run: binary, lines: array<int>>>")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([[{"run": run, "lines": lines} for run, lines in windows(t, min_words)] for t in texts], dtype=object)
+
+    runs = docs.where("text IS NOT NULL").select("at", F.explode(found("text")).alias("x")).select("at", "x.*")
+    runs = common.stored(runs, "line-runs")
+    place = F.struct("at", F.col("lines")[0].alias("first"))
+    firsts = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(place).alias("source")).where("n > 1").select("run", "source")
+    copies = runs.join(firsts, "run").where(place != F.col("source")).select("at", F.explode("lines").alias("line"))
+    return copies.groupBy("at").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -112,6 +112,34 @@ def test_lines_without_any(spark):
     assert sorted((r.doc_id or 0, r.text, r.removed_lines) for r in line_dedup.dedup_lines(rows, 1).where("text is not null").collect()) == [(1, "", []), (2, "a b\nc", []), (2, "x", [])]
 
 
+def brute_runs(texts, min_words):
+    """Lines of every run of min_words words that stands earlier, over all pairs of places."""
+    texts = [[(n, " ".join(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    places = [(d, a) for d, lines in enumerate(texts) for a in range(len(lines))]
+    out = [set() for _ in texts]
+    for i, (d, a) in enumerate(places):
+        for e, b in places[:i]:
+            n = 0
+            while a + n < len(texts[d]) and b + n < len(texts[e]) and texts[d][a + n][1] == texts[e][b + n][1]:
+                n += 1
+            if sum(len(x.split()) for _, x in texts[d][a : a + n]) >= min_words:
+                out[d].update(x for x, _ in texts[d][a : a + n])
+    return [sorted(x) for x in out]
+
+
+def test_lines_take_the_longest_earlier_run(spark):
+    r = random.Random(6)
+    lines = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (9, 9, 9, 1, 2, 3, 10, 10, 40, 5)]
+    a, b, c, x = *lines[:3], "x"
+    texts = [f"{a}\n{b}\n{x}", f"{a}\n{b}\n{c}", f"{a}\n \n{b}\n{c}"]
+    texts += ["\n".join(r.choices([*lines, ""], k=r.randint(1, 14))) for _ in range(60)]
+    texts += ["\n".join(lines[6:9]), "\n".join([lines[6], "y", *lines[6:9]])]
+    want = brute_runs(texts, 25)
+    assert want[2] == [0, 2, 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r.removed_lines for r in line_dedup.dedup_lines(rows, 25).orderBy("doc_id").collect()] == want
+
+
 def brute_simhash(text, shingle):
     words = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64(b" ".join(words[i : i + shingle]), seed=42).intdigest() for i in range(max(1, len(words) - shingle + 1))] if words else []
