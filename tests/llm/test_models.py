@@ -54,6 +54,33 @@ def test_a_word_of_many_subwords(spark):
     assert {r.doc_id: r.n_subwords for r in lm_scoring.score(rows, RANKS).collect()} == {1: 4, 2: n}
 
 
+def test_all_pairs_are_counted(docs):
+    rows = docs.select("doc_id", (F.col("doc_id") % 7 == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    corpus = lm_scoring.bundles(rows, RANKS).cache()
+    none = np.zeros(0, np.int64)
+    classes = attention.Classes(lm_scoring.subword_counts(corpus), none, none, 512, 96)
+    table = lm_scoring.pair_counts(corpus, classes).collect()
+    bundles = [r.asDict(recursive=True) for r in corpus.collect()]
+    want = collections.Counter()
+    for row in bundles:
+        ids, ends = lm_scoring._tokens(row)
+        for held, a, b in zip(row["held"], [0, *ends.tolist()], ends.tolist()):
+            if not held:
+                want.update(zip([lm_scoring.VOCABULARY - 1, *ids[a : b - 1].tolist()], ids[a:b].tolist()))
+    pairs = np.array(sorted(a * lm_scoring.VOCABULARY + b for a, b in want))
+    whole = attention.Classes(lm_scoring.subword_counts(corpus), pairs, np.array([want[divmod(int(x), lm_scoring.VOCABULARY)] for x in pairs]), 512, 96)
+    assert len(bundles) > 1 and min(want.values()) == 1
+    for row in bundles:
+        row["pairs"] = [r.asDict() for r in table if r.bundle == row["bundle"]]
+        own = lm_scoring._known(row, classes, lm_scoring._buckets(docs.sparkSession))
+        ids, ends = lm_scoring._tokens(row)
+        last = attention.before(ids, ends, lm_scoring.VOCABULARY - 1)
+        assert np.allclose(own.within_class(last, ids), whole.within_class(last, ids))
+        assert {int(k): int(n) for k, n in zip(own.pairs, own.times) if n} == {int(k): want[divmod(int(k), lm_scoring.VOCABULARY)] for k in own.pairs if want[divmod(int(k), lm_scoring.VOCABULARY)]}
+    classes.follow_by(lm_scoring._cells(docs.sparkSession.createDataFrame(table), 513 * 96))
+    assert np.allclose(classes.follow, whole.follow)
+
+
 def small_model():
     r = np.random.default_rng(0)
     n = 12
