@@ -2,17 +2,19 @@
 
 A window of a document matches an item if both have as many words, their SimHash fingerprints
 differ in at most `radius` bits, and the weighted Jaccard similarity of their shingles (five words,
-weighted by how often each occurs) is `similarity` or more. Only windows that share enough shingles
-with an item to be that similar are fingerprinted, which loses none: similarity s needs s times the
-item's shingles at least. Fingerprints meet through eight blocks of eight bits; if they differ in
-at most 8 r + 7 bits, some block differs in r bits at most, so an item's blocks with all changes of
-so few bits find every window within the radius. Windows of equal words are compared once, however
-many documents hold them.
+weighted by how often each occurs) is `similarity` or more. Windows are paired with items by their
+fingerprints alone, which meet through eight blocks of eight bits; if they differ in at most 8 r + 7
+bits, some block differs in r bits at most, so an item's blocks with all changes of so few bits find
+every window within the radius. Only windows of which a share of `similarity` of the shingles stands
+in the benchmark's items of that length, whichever these are, are fingerprinted at all; no other can
+be similar enough to any item. Windows of equal words are compared once, however many documents hold
+them.
 
 Everything runs as DataFrame expressions. Words are lower-cased and split at white space; an item
-of fewer than five words is one shingle; items have fewer than 32,768 words. Null and empty texts and items match nothing; rows with
-equal ids are searched each. A document with several windows that match an item gives the most
-similar one, the first of those.
+of fewer than five words is one shingle. Texts and items may be as long as Spark's strings. Null and
+empty texts and items match nothing; null ids are ids like any other; rows with equal ids are searched
+each. A document with several windows that match an item gives the most similar one, the first of
+those. Only the id and the text of docs are read, so that its other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS, BLOCK_BITS = 8, 8
-#: Shingles of the benchmark that are sent to all tasks at most (8 MB); more are joined by a shuffle.
+#: Rows of the benchmark (shingles, blocks) that are sent to all tasks at most, some 50 MB; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Documents with windows to look at whose keys are sent to all tasks at most, some 20 MB; of more, the texts are shuffled.
+KEYS = 200_000
 
 
 def _words(text: str) -> F.Column:
@@ -48,18 +52,23 @@ def _hashes(words: str, size: int) -> F.Column:
 
 
 def _fingerprints(rows: DataFrame, key: str) -> DataFrame:
-    """rows: key, shingle. The majority of each bit over the shingles' hashes, four bits to a sum."""
-    lanes, bits = 0x0001000100010001, 16
+    """rows: key, shingle. The majority of each bit over the shingles' hashes, two bits to a sum: no text has 2 ** 31 shingles."""
+    lanes, bits = 0x0000000100000001, 32
     hashed = rows.select(key, F.xxhash64("shingle").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(bits)]
     summed = hashed.groupBy(key).agg(F.count("*").alias("n"), *sums)
     signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(64)]
-    fp = [F.when(2 * F.shiftrightunsigned(f"s{i}", bits * k).bitwiseAND(F.lit(0xFFFF)) > F.col("n"), F.lit(signed[i + bits * k]).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits) for k in range(4)]
+    fp = [F.when(2 * F.shiftrightunsigned(f"s{i}", bits * k).bitwiseAND(F.lit(0x7FFFFFFF)) > F.col("n"), F.lit(signed[i + bits * k]).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits) for k in range(2)]
     while len(fp) > 1:
         fp = [a.bitwiseOR(b) for a, b in zip(fp[::2], fp[1::2], strict=True)]
     return summed.select(key, fp[0].alias("fp"))
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint to send it to all tasks, if it has so few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _changes(radius: int) -> list[int]:
     """All changes of a block that the pigeonhole principle asks for."""
     most = radius // BLOCKS
@@ -72,18 +81,26 @@ def _blocks(fp: str, changes: list[int]) -> F.Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
-    """Where documents have shingles of some item: row, size, h (hash), p (position)."""
-    known = items.select("size", F.explode("hashes").alias("h")).distinct()
+    """Where documents have shingles of items: row, size, p (position) and lengths (of the items)."""
+    known = items.select("size", "length", F.explode("hashes").alias("h"))
     spread = []
-    for size in range(1, shingle + 1):
-        own = known.where(F.col("size") == size).select("h")
-        n = own.limit(BROADCAST + 1).count()
-        if n:
-            runs = docs.where(F.size("words") >= size).select("row", F.lit(size).alias("size"), F.posexplode(_hashes("words", size)).alias("p", "h"))
-            spread.append(runs.join(F.broadcast(own) if n <= BROADCAST else own, "h", "left_semi").select("row", "size", "h", "p"))
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
+        own = known.where(F.col("size") == size).groupBy("h").agg(F.collect_set("length").alias("lengths"))
+        runs = docs.where(F.size("words") >= size).select("row", F.lit(size).alias("size"), F.posexplode(_hashes("words", size)).alias("p", "h"))
+        spread.append(runs.join(_small(own, BROADCAST), "h").select("row", "size", "p", "lengths"))
     return reduce(DataFrame.union, spread)
 
 
+def _places(hits: DataFrame, similarity: float) -> DataFrame:
+    """row, length, size and starts: windows of which a share of similarity of the shingles are hits of items of their length."""
+    places = hits.select("row", "size", "p", F.explode("lengths").alias("length")).groupBy("row", "size", "length").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    n = F.col("length") - F.col("size") + 1
+    places = places.withColumn("least", F.greatest(F.ceil(n * similarity - 1e-9).cast("int"), F.lit(1))).where("size(ps) >= least")
+    spans = F.expr("filter(transform(sequence(0, size(ps) - least), i -> named_struct('low', greatest(ps[i + least - 1] - (length - size), 0), 'high', ps[i])), x -> x.low <= x.high)")
+    starts = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"]))))
+    return places.select("row", "length", "size", starts.alias("starts")).where("size(starts) > 0")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start (of the window, in words), n_words, distance and similarity of each document and item that match."""
     whole = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item_words")).where(F.size("item_words") > 0)
@@ -95,38 +112,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     if not items.take(1):
         kinds = {c: docs.schema[doc_id].dataType.simpleString() if c == "doc_id" else items.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start int, n_words int, distance int, similarity double")
-    listed = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text")).alias("row"), _words(text).alias("words"))
-
-    # windows that share enough shingles with an item of their length
-    hits = common.stored(_hits(listed, items, shingle), "decontamination-hits")
-    of_item = items.select("item_id", "size", "length", F.explode(F.array_distinct("hashes")).alias("h"))
-    shared = hits.join(of_item, ["size", "h"])
-    places = shared.groupBy("row", "item_id", "size", "length").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    n = F.col("length") - F.col("size") + 1
-    places = places.withColumn("least", F.greatest(F.ceil(n * similarity - 1e-9).cast("int"), F.lit(1))).where("size(ps) >= least")
-    spans = F.expr("filter(transform(sequence(0, size(ps) - least), i -> named_struct('low', greatest(ps[i + least - 1] - (length - size), 0), 'high', ps[i])), x -> x.low <= x.high)")
-    starts = F.explode(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))))
-    found = places.select("row", "length", "size", starts.alias("start")).distinct()
-    windows = listed.join(found.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at"))).where("start + length <= size(words)")
-    windows = windows.select(F.col("row.id").alias("rid"), "length", "size", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
+    texts = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text")).alias("row"), F.col(text).alias("text"))
+
+    # windows worth a fingerprint
+    places = common.stored(_places(_hits(texts.select("row", _words("text").alias("words")), items, shingle), similarity), "decontamination-places")
+    named = _small(places.select(F.col("row").alias("at")).distinct(), KEYS)
+    listed = texts.join(named, F.col("row").eqNullSafe(F.col("at")), "left_semi").select("row", _words("text").alias("words"))
+    found = listed.join(places.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")))
+    cut = F.transform(F.filter("starts", lambda s: s + F.col("length") <= F.size("words")), lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("length")).alias("window")))
+    windows = found.select(F.col("row.id").alias("rid"), "length", "size", F.inline(cut))
     windows = common.stored(windows.withColumn("content", F.sha2(F.array_join("window", " "), 256)), "decontamination-windows")
 
     # fingerprints of different windows and items meet in blocks
     different = windows.groupBy("content", "length", "size").agg(F.first("window").alias("window"))
     shingles = common.stored(different.select("content", "length", F.explode(_shingles("window", F.col("size"))).alias("shingle")), "decontamination-shingles")
     item_shingles = items.select("item_id", F.explode(_shingles("item_words", F.col("size"))).alias("shingle"))
-    fps = _fingerprints(shingles, "content").join(different.select("content", "length"), "content")
+    fps = _fingerprints(shingles, "content").join(windows.select("content", "length").distinct(), "content")
     item_fps = _fingerprints(item_shingles, "item_id").join(items.select("item_id", "length"), "item_id")
     left = fps.select("content", "length", "fp", _blocks("fp", [0]).alias("x")).select("content", "length", "fp", "x.*")
     right = item_fps.select("item_id", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item_id", "length", "item_fp", "x.*")
-    pairs = left.join(right, ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+    pairs = left.join(_small(right, BROADCAST), ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+    pairs = common.stored(pairs, "decontamination-pairs")
 
-    # exact similarity of the candidates
+    # exact similarity of the candidates: the weights of their own windows and items only
     weights = shingles.groupBy("content", "shingle").agg(F.count("*").alias("w"))
     item_weights = item_shingles.groupBy("item_id", "shingle").agg(F.count("*").alias("iw"))
-    common_weight = weights.join(item_weights, "shingle").groupBy("content", "item_id").agg(F.sum(F.least("w", "iw")).alias("both"))
-    of_pair = pairs.join(common_weight, ["content", "item_id"]).join(items.select("item_id", "size"), "item_id")
+    both = pairs.join(weights, "content").join(item_weights, ["item_id", "shingle"]).groupBy("content", "item_id", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
     n = F.col("length") - F.col("size") + 1
+    of_pair = both.join(items.select("item_id", "size"), "item_id")
     alike = of_pair.withColumn("similarity", F.col("both") / (2 * n - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
     alike = common.cut(alike.select("content", "item_id", "distance", "similarity"))
     matches = windows.select("rid", "length", "start", "content").join(alike, "content")

@@ -238,3 +238,11 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == {r.doc_id for r in docs.collect()}
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert brute_contaminated([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()], 0.8) == {}
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    long = "same " * 40_000
+    docs = spark.createDataFrame([(1, long), (2, long + "end"), (3, "same " * 100), (None, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, None)], "item_id long, text string")
+    got = decontamination.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_words, r.distance, r.similarity) for r in got} == {(i, 1, 0, 40_000, 0, 1.0) for i in (1, 2, None)}
