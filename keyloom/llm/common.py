@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint to send it to all tasks, if it has at most so many rows; else as it is, for a join by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_of(column: str = "text") -> F.Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

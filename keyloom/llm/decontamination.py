@@ -64,11 +64,6 @@ def _fingerprints(rows: DataFrame, key: str) -> DataFrame:
     return summed.select(key, fp[0].alias("fp"))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """df with a hint to send it to all tasks, if it has so few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _changes(radius: int) -> list[int]:
     """All changes of a block that the pigeonhole principle asks for."""
     most = radius // BLOCKS
@@ -87,7 +82,7 @@ def _hits(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
         own = known.where(F.col("size") == size).groupBy("h").agg(F.collect_set("length").alias("lengths"))
         runs = docs.where(F.size("words") >= size).select("row", F.lit(size).alias("size"), F.posexplode(_hashes("words", size)).alias("p", "h"))
-        spread.append(runs.join(_small(own, BROADCAST), "h").select("row", "size", "p", "lengths"))
+        spread.append(runs.join(common.small(own, BROADCAST), "h").select("row", "size", "p", "lengths"))
     return reduce(DataFrame.union, spread)
 
 
@@ -116,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
 
     # windows worth a fingerprint
     places = common.stored(_places(_hits(texts.select("row", _words("text").alias("words")), items, shingle), similarity), "decontamination-places")
-    named = _small(places.select(F.col("row").alias("at")).distinct(), KEYS)
+    named = common.small(places.select(F.col("row").alias("at")).distinct(), KEYS)
     listed = texts.join(named, F.col("row").eqNullSafe(F.col("at")), "left_semi").select("row", _words("text").alias("words"))
     found = listed.join(places.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")))
     cut = F.transform(F.filter("starts", lambda s: s + F.col("length") <= F.size("words")), lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("length")).alias("window")))
@@ -131,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     item_fps = _fingerprints(item_shingles, "item_id").join(items.select("item_id", "length"), "item_id")
     left = fps.select("content", "length", "fp", _blocks("fp", [0]).alias("x")).select("content", "length", "fp", "x.*")
     right = item_fps.select("item_id", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item_id", "length", "item_fp", "x.*")
-    pairs = left.join(_small(right, BROADCAST), ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+    pairs = left.join(common.small(right, BROADCAST), ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
     pairs = common.stored(pairs, "decontamination-pairs")
 
     # exact similarity of the candidates: the weights of their own windows and items only

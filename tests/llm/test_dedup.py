@@ -63,42 +63,12 @@ def test_exact_with_null_ids(spark):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(rows).collect()} == {(None, 1, 2, False), (1, 1, 2, True), (None, None, 1, True)}
 
 
-def brute_lines(rows, min_words):
-    """The same rule with plain dictionaries: lines to delete of each document, in order."""
-    texts = [[(n, " ".join(SPACE.split(x.strip(" \t\n\r\x0b\x0c")))) for n, x in enumerate((t or "").split("\n"))] for _, t in rows]
-    texts = [[(n, x, len(x.split(" "))) for n, x in lines if x] for lines in texts]
-    levels = []
-    while True:
-        places = collections.defaultdict(list)
-        for d, lines in enumerate(texts):
-            for a in range(len(lines) - 2 ** len(levels) + 1):
-                places[tuple(x[1] for x in lines[a : a + 2 ** len(levels)])].append((d, a))
-        found = {p: ps[0] for ps in places.values() if len(ps) > 1 for p in ps}
-        if not found:
-            break
-        levels.append(found)
-    out = [set() for _ in rows]
-    for d, lines in enumerate(texts):
-        for a in range(len(lines)):
-            for k in range(len(levels) - 1, -1, -1):
-                source = levels[k].get((d, a), (d, a))
-                if source != (d, a):
-                    n = 2**k
-                    for j in range(k - 1, -1, -1):
-                        here, there = levels[j].get((d, a + n)), levels[j].get((source[0], source[1] + n))
-                        n += 2**j * (here is not None and here == there)
-                    if sum(x[2] for x in lines[a : a + n]) >= min_words:
-                        out[d].update(x[0] for x in lines[a : a + n])
-                    break
-    return [sorted(x) for x in out]
-
-
 def test_lines(docs):
     one = docs.where("doc_id != 5 or whole is null").union(docs.where("doc_id = 5").limit(1))  # of equal ids the order is the reader's
     got = sorted(line_dedup.dedup_lines(one, 12).collect(), key=lambda r: r.doc_id)
     rows = sorted((r.doc_id, r.text) for r in one.collect() if r.text is not None) + [(r.doc_id, None) for r in one.collect() if r.text is None]
     rows.sort(key=lambda x: x[0])
-    removed = brute_lines(rows, 12)
+    removed = brute_runs([t or "" for _, t in rows], 12)
     assert [r.removed_lines for r in got] == removed and any(removed)
     for r, (_, t), gone in zip(got, rows, removed, strict=True):
         assert r.text == (t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
@@ -262,3 +232,31 @@ def test_joined_sets_compare_all_pairs():
     for a, b in links:
         got = [got[a] if x == got[b] else x for x in got]
     assert len({*zip(root, got)}) == len(set(root)) == len(set(got)) < 60
+
+
+def test_lines_over_many_ranges(spark):
+    """Ties and common prefixes that span ranges, null ids, repeated ids and a hot run."""
+    r = random.Random(11)
+    lines = [" ".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(7)]
+    texts = ["\n".join(r.choices([*lines, ""], [5, 3, 2, 1, 1, 1, 1, 1], k=r.randint(0, 25))) for _ in range(50)] + ["\n".join(lines * 2)] * 40
+    rows = list(zip([None, None, *range(len(texts) - 2)], texts))
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("removed_lines", F.lit("own"))
+        got = line_dedup.dedup_lines(frame, 6).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0].asDict().keys() == {"doc_id", "text", "removed_lines"}
+    want = dict(zip(enumerate(texts), brute_runs(texts, 6)))
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.removed_lines) for x in got) == sorted((i - 2 if i > 1 else -1, gone) for (i, _), gone in want.items())
+
+
+def test_suffixes_are_in_order(spark):
+    r = random.Random(2)
+    runs = [[r.choice("abc") for _ in range(r.randint(1, 12))] for _ in range(30)]
+    rows = [(d, 0, i, ord(x), 0) for d, run in enumerate(runs) for i, x in enumerate(run)]
+    ranked = line_dedup.suffix_ranks(spark.createDataFrame(rows, "row long, seg int, i int, h1 long, h2 long"), 8).collect()
+    of = {(x.row, x.i): x.r for x in ranked}
+    suffix = {(d, i): run[i : i + 8] for d, run in enumerate(runs) for i in range(len(run))}
+    order = sorted(of, key=of.get)
+    assert all((suffix[a] < suffix[b]) == (of[a] < of[b]) and (suffix[a] == suffix[b]) == (of[a] == of[b]) for a, b in zip(order, order[1:]))
