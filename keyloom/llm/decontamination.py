@@ -11,7 +11,7 @@ be similar enough to any item. Windows of equal words are compared once, however
 them.
 
 Everything runs as DataFrame expressions. Words are lower-cased and split at white space; an item
-of fewer than five words is one shingle. Texts and items may be as long as Spark's strings. Null and
+of fewer than five words is one shingle. Shingles are compared by 64-bit hashes, within one pair of a window and an item. Texts and items may be as long as Spark's strings. Null and
 empty texts and items match nothing; null ids are ids like any other; rows with equal ids are searched
 each. A document with several windows that match an item gives the most similar one, the first of
 those. Only the id and the text of docs are read, so that its other columns may have any names.
@@ -38,12 +38,6 @@ def _words(text: str) -> F.Column:
     return F.array_remove(F.split(F.lower(common.text_of(text)), common.SPACE), "")
 
 
-def _shingles(words: str, size: F.Column | int) -> F.Column:
-    """Shingles as strings; with fewer words than size, the whole sequence."""
-    n = F.greatest(F.size(words) - size + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " "))
-
-
 def _hashes(words: str, size: int) -> F.Column:
     """Hashes of all runs of size words, in order."""
     last = F.size(words) - size
@@ -51,17 +45,24 @@ def _hashes(words: str, size: int) -> F.Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
 
-def _fingerprints(rows: DataFrame, key: str) -> DataFrame:
-    """rows: key, shingle. The majority of each bit over the shingles' hashes, two bits to a sum: no text has 2 ** 31 shingles."""
+def _shingles(words: str, size: str, most: int) -> F.Column:
+    """Hashes of all runs of as many words as the column size says, at most most."""
+    out = F.lit(None).cast("array<bigint>")
+    for k in range(1, most + 1):
+        out = F.when(F.col(size) == k, _hashes(words, k)).otherwise(out)
+    return out
+
+
+def _fingerprints(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows: key, h. The majority of each bit over the shingles' hashes, two bits to a sum: no text has 2 ** 31 shingles."""
     lanes, bits = 0x0000000100000001, 32
-    hashed = rows.select(key, F.xxhash64("shingle").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(bits)]
-    summed = hashed.groupBy(key).agg(F.count("*").alias("n"), *sums)
+    summed = rows.groupBy(*key).agg(F.count("*").alias("n"), *sums)
     signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(64)]
     fp = [F.when(2 * F.shiftrightunsigned(f"s{i}", bits * k).bitwiseAND(F.lit(0x7FFFFFFF)) > F.col("n"), F.lit(signed[i + bits * k]).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits) for k in range(2)]
     while len(fp) > 1:
         fp = [a.bitwiseOR(b) for a, b in zip(fp[::2], fp[1::2], strict=True)]
-    return summed.select(key, fp[0].alias("fp"))
+    return summed.select(*key, fp[0].alias("fp"))
 
 
 def _changes(radius: int) -> list[int]:
@@ -100,10 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     """doc_id, item_id, start (of the window, in words), n_words, distance and similarity of each document and item that match."""
     whole = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item_words")).where(F.size("item_words") > 0)
     whole = whole.withColumn("size", F.least(F.size("item_words"), F.lit(shingle)))
-    hashes = F.lit(None).cast("array<bigint>")
-    for k in range(1, shingle + 1):
-        hashes = F.when(F.col("size") == k, _hashes("item_words", k)).otherwise(hashes)
-    items = common.cut(whole.select("item_id", "item_words", "size", hashes.alias("hashes"), F.size("item_words").alias("length")))
+    items = common.cut(whole.select("item_id", "size", _shingles("item_words", "size", shingle).alias("hashes"), F.size("item_words").alias("length")))
     if not items.take(1):
         kinds = {c: docs.schema[doc_id].dataType.simpleString() if c == "doc_id" else items.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start int, n_words int, distance int, similarity double")
@@ -114,25 +112,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     named = common.small(places.select(F.col("row").alias("at")).distinct(), KEYS)
     listed = texts.join(named, F.col("row").eqNullSafe(F.col("at")), "left_semi").select("row", _words("text").alias("words"))
     found = listed.join(places.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")))
-    cut = F.transform(F.filter("starts", lambda s: s + F.col("length") <= F.size("words")), lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("length")).alias("window")))
+    cut = F.transform(F.filter("starts", lambda s: s + F.col("length") <= F.size("words")), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s + 1, F.col("length")), " ").alias("window")))
     windows = found.select(F.col("row.id").alias("rid"), "length", "size", F.inline(cut))
-    windows = common.stored(windows.withColumn("content", F.sha2(F.array_join("window", " "), 256)), "decontamination-windows")
+    windows = common.stored(windows.withColumn("content", F.unhex(F.md5("window"))), "decontamination-windows")
 
     # fingerprints of different windows and items meet in blocks
-    different = windows.groupBy("content", "length", "size").agg(F.first("window").alias("window"))
-    shingles = common.stored(different.select("content", "length", F.explode(_shingles("window", F.col("size"))).alias("shingle")), "decontamination-shingles")
-    item_shingles = items.select("item_id", F.explode(_shingles("item_words", F.col("size"))).alias("shingle"))
-    fps = _fingerprints(shingles, "content").join(windows.select("content", "length").distinct(), "content")
-    item_fps = _fingerprints(item_shingles, "item_id").join(items.select("item_id", "length"), "item_id")
+    different = windows.groupBy("content").agg(F.first("length").alias("length"), F.first("size").alias("size"), F.first("window").alias("window"))
+    shingles = different.select("content", "length", "size", F.split("window", " ").alias("words")).select("content", "length", F.explode(_shingles("words", "size", shingle)).alias("h"))
+    shingles = common.stored(shingles, "decontamination-shingles")
+    item_shingles = items.select("item_id", F.explode("hashes").alias("h"))
+    fps = _fingerprints(shingles, ["content", "length"])
+    item_fps = _fingerprints(item_shingles, ["item_id"]).join(items.select("item_id", "length"), "item_id")
     left = fps.select("content", "length", "fp", _blocks("fp", [0]).alias("x")).select("content", "length", "fp", "x.*")
     right = item_fps.select("item_id", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item_id", "length", "item_fp", "x.*")
     pairs = left.join(common.small(right, BROADCAST), ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
     pairs = common.stored(pairs, "decontamination-pairs")
 
     # exact similarity of the candidates: the weights of their own windows and items only
-    weights = shingles.groupBy("content", "shingle").agg(F.count("*").alias("w"))
-    item_weights = item_shingles.groupBy("item_id", "shingle").agg(F.count("*").alias("iw"))
-    both = pairs.join(weights, "content").join(item_weights, ["item_id", "shingle"]).groupBy("content", "item_id", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
+    weights = shingles.join(common.small(pairs.select("content").distinct(), KEYS), "content", "left_semi").groupBy("content", "h").agg(F.count("*").alias("w"))
+    item_weights = item_shingles.groupBy("item_id", "h").agg(F.count("*").alias("iw"))
+    both = pairs.join(weights, "content").join(common.small(item_weights, BROADCAST), ["item_id", "h"]).groupBy("content", "item_id", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
     n = F.col("length") - F.col("size") + 1
     of_pair = both.join(items.select("item_id", "size"), "item_id")
     alike = of_pair.withColumn("similarity", F.col("both") / (2 * n - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
