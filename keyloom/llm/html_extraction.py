@@ -4,13 +4,18 @@ A page is read into text blocks, each under the path of tags from the root down
 path of the page the text's length and its punctuation are summed over the path's blocks; both
 ratios are smoothed over neighbouring paths, fused by their product, and paths above a threshold
 set by the page's own spread are content. The content node is the deepest element that holds
-nearly all text of content paths, and all its blocks stay, short ones too; of a page whose body is
-that node, what lies between the first and the last block of content paths stays, with the
-headings right before it. Menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments, scripts, styles and markup never count as text.
+nearly all text of content paths, widened to the article that it is part of; all its blocks stay,
+short ones too, with the headings right before it. Of a page whose body is that node, what lies between
+the first and the last block of content paths stays. Paths whose text is links only never are content.
 
-Null, empty and textless pages give an empty text. Unclosed elements, comments and tags end with
-the page; repeated rows each give their text.
+Scripts, styles, markup, form controls and hidden elements are never text. Menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments are known by their elements and by words in
+class, id and role, but a first run of the ratios decides whether to believe that: not of an element
+that holds most of the content, unless its name is plain and there is an article beside it.
+
+Null, empty and textless pages give an empty text; a page may have any length. Unclosed elements,
+comments and tags end with the page; repeated rows each give their text. Columns text and n_chars
+of the pages are replaced; any other name does no harm.
 """
 
 from __future__ import annotations
@@ -35,50 +40,75 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that another of the same kind, or of the kinds given, ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NOISE = frozenset("aside audio button canvas dialog footer form head iframe input label map math menu nav noembed noframes noscript object script select style svg template textarea title video xmp".split())
+#: Elements that are never text.
+NOISE = frozenset("audio button canvas head iframe input label map math noembed noframes noscript object script select style svg template textarea title video xmp".split())
+#: Elements that hold what is not the article, as plain names.
+ASIDE = frozenset("aside dialog footer menu nav".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer form gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar tracking widget".split())
+COMMENTS = frozenset("comment comments discussion disqus replies respond".split())
+#: Words that make a name speak of what else is on the page.
+WITH = frozenset("with has no without layout page is open closed".split())
 HEADERS = frozenset(("header", "masthead"))
 CONTENT = frozenset(("article", "main"))
 #: Elements that hold a single block of text and cannot be the content node.
 LEAF = HEADING | frozenset("p li dt dd td th tr caption figcaption legend summary option pre address".split())
 SHARE = 0.9
+HARD, PLAIN, COMPOUND = 3, 2, 1
 
 
-def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article, whose own header is part of it."""
-    if tag in NOISE or tag == "header" and not inside:
-        return True
+def _doubt(tag: str, attributes: str, inside: bool) -> int:
+    """How surely an element is not the article: HARD, by a PLAIN or a COMPOUND name, or 0. inside: within an article, whose own header is part of it."""
+    if tag in NOISE:
+        return HARD
+    out = PLAIN if tag in ASIDE else COMPOUND if tag == "form" or tag == "header" and not inside else 0
     if not attributes.strip() or tag in ("body", "html"):
-        return False
+        return out
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return HARD
         if name in ("class", "id", "role"):
-            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
-            if words & MARKS or words & HEADERS and not inside:
-                return True
-    return False
+            for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+                words = set(re.findall(r"[a-z]+", token))
+                if words & WITH:
+                    continue
+                if words & COMMENTS or len(words) == 1 and (words & MARKS or words & HEADERS and not inside):
+                    out = max(out, PLAIN)
+                elif words & MARKS or words & HEADERS and not inside:
+                    out = max(out, COMPOUND)
+    return out
+
+
+class Block:
+    """A block of text: its tag path, its elements from the root down (number, tag), those of them that are in doubt, its text and how much of it is links."""
+
+    __slots__ = ("path", "chain", "doubts", "text", "links")
 
+    def __init__(self, chain: list[tuple[int, str]], doubts: tuple[int, ...], text: str, links: int):
+        self.path, self.chain, self.doubts, self.text, self.links = "/".join(t for _, t in chain), chain, doubts, text, links
 
-def blocks(page: str) -> list[tuple[str, list[tuple[int, str]], str]]:
-    """Text blocks in page order: tag path, elements from the root down (number, tag), text."""
-    out: list = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether it is noise
+
+def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
+    """Text blocks in page order, and how doubtful elements are, by number."""
+    out: list[Block] = []
+    doubts: dict[int, int] = {}
+    stack: list[tuple[str, int, bool, int]] = []  # tag, number, whether it is never text, links around
     held: list[str] = []
-    number = at = 0
+    number = at = links = 0
 
     def flush() -> None:
+        nonlocal links
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                chain = [(n, t) for t, n, _ in stack if t in BLOCK]
-                out.append(("/".join(t for _, t in chain), chain, text))
+                chain = [(n, t) for t, n, _, _ in stack if t in BLOCK]
+                out.append(Block(chain, tuple(n for n, _ in chain if n in doubts), text, links))
+        links = 0
 
     def close(upto: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[upto:]):
+        if any(t in BLOCK for t, *_ in stack[upto:]):
             flush()
         del stack[upto:]
 
@@ -89,6 +119,8 @@ def blocks(page: str) -> list[tuple[str, list[tuple[int, str]], str]]:
         if text is not None:
             if not (stack and stack[-1][2]):
                 held.append(text)
+                if stack and stack[-1][3]:
+                    links += len(text.strip())
             continue
         if tag is None:
             continue
@@ -114,15 +146,18 @@ def blocks(page: str) -> list[tuple[str, list[tuple[int, str]], str]]:
         if tag in VOID:
             continue
         number += 1
-        noise = bool(stack and stack[-1][2]) or _is_noise(tag, attributes, any(t in CONTENT for t, _, _ in stack))
+        doubt = _doubt(tag, attributes, any(t in CONTENT for t, *_ in stack))
+        noise = bool(stack and stack[-1][2]) or doubt == HARD or doubt == PLAIN and tag not in BLOCK
         if noise and tag not in BLOCK:
             held.append(" ")
+        elif doubt and tag in BLOCK:
+            doubts[number] = doubt
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = found.start() if found else len(page)
-        stack.append((tag, number, noise))
+        stack.append((tag, number, noise, int(tag == "a" or tag not in BLOCK and bool(stack and stack[-1][3]))))
     flush()
-    return out
+    return out, doubts
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -131,38 +166,77 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), weights, "valid") if len(x) > 2 else x
 
 
-def extract(page: str, spread: float = 0.5) -> str:
-    """The page's main text; spread: standard deviations above zero that make a path content."""
-    found = blocks(page)
-    if not found:
-        return ""
+def path_ratios(found: list[Block]) -> dict[str, float]:
+    """Of each tag path, its fused ratio: text and punctuation for each block, smoothed over paths in page order, times its share of the text."""
     paths: dict[str, list[float]] = {}
-    for path, _, text in found:
-        sums = paths.setdefault(path, [0, 0, 0])
-        sums[0] += len(text)
-        sums[1] += len(re.findall(r"[.,;:!?。、！？]", text))
+    for x in found:
+        sums = paths.setdefault(x.path, [0, 0, 0, 0])
+        sums[0] += len(x.text)
+        sums[1] += len(re.findall(r"[.,;:!?。、！？]", x.text))
         sums[2] += 1
+        sums[3] += x.links
+    if not paths:
+        return {}
     sums = np.array(list(paths.values()), float)
     ratios = (sums[:, 0] / sums[:, 2], (1 + sums[:, 1]) / sums[:, 2])
     fused = np.prod([_smooth(r / r.max()) for r in ratios], axis=0) * sums[:, 0] / sums[:, 0].max()
-    content = {p for p, f in zip(paths, fused, strict=True) if f >= min(spread * fused.std(), fused.max())}
+    links = (sums[:, 3] >= 0.9 * sums[:, 0]) & (sums[:, 1] < sums[:, 2])
+    if not links.all():
+        fused[links] = 0
+    return dict(zip(paths, fused.tolist(), strict=True))
+
+
+def content_paths(ratios: dict[str, float], spread: float) -> set[str]:
+    values = np.array(list(ratios.values()))
+    return {p for p, f in ratios.items() if 0 < f >= min(spread * values.std(), values.max())}
+
+
+def believed(found: list[Block], doubts: dict[int, int], spread: float) -> set[int]:
+    """The doubtful elements that are not the article."""
+    content = content_paths(path_ratios(found), spread)
+    whole = sum(len(x.text) for x in found if x.path in content)
+    out: set[int] = set()
+    for element, doubt in doubts.items():  # from the outside in
+        own = [x for x in found if element in x.doubts]
+        if not own or any(n in out for n in own[0].doubts if n != element):
+            continue
+        others = [x for x in found if element not in x.doubts and not out.intersection(x.doubts)]
+        tags = next(([t for _, t in x.chain[: [n for n, _ in x.chain].index(element)]] for x in own), [])
+        beside = not CONTENT.intersection(tags) and any(t in CONTENT for x in others for _, t in x.chain)
+        most = sum(len(x.text) for x in own if x.path in content) >= 0.5 * max(1, whole)
+        paragraphs = any(x.chain and x.chain[-1][1] == "p" for x in others)
+        if beside or not most or doubt == PLAIN and paragraphs:
+            out.add(element)
+    return out
+
+
+def extract(page: str, spread: float = 0.5) -> str:
+    """The page's main text; spread: standard deviations above zero that make a path content."""
+    found, doubts = blocks(page)
+    if doubts:
+        gone = believed(found, doubts, spread)
+        found = [x for x in found if not gone.intersection(x.doubts)]
+    ratios = path_ratios(found)
+    content = content_paths(ratios, spread)
+    found = [x for x in found if ratios[x.path] > 0]
     weight: dict[tuple[int, str], int] = {}
-    for path, chain, text in found:
-        for element in chain if path in content else ():
-            weight[element] = weight.get(element, 0) + len(text)
+    for x in found:
+        for element in x.chain if x.path in content else ():
+            weight[element] = weight.get(element, 0) + len(x.text)
     whole = max(weight.values(), default=0)
-    enough = [e for e, w in weight.items() if w >= SHARE * whole]
-    inside = next((e for e in sorted(enough) if e[1] in CONTENT), None)
-    if inside:
-        return "\n".join(text for _, chain, text in found if inside in chain)
-    node = max((e for e in enough if e[1] not in LEAF), default=None)
+    node = max((e for e, w in weight.items() if w >= SHARE * whole and e[1] not in LEAF), default=None)
     if node and node[1] not in ("html", "body"):
-        return "\n".join(text for _, chain, text in found if node in chain)
-    kept = [i for i, (path, _, _) in enumerate(found) if path in content]
-    first = kept[0] if kept else len(found)
-    while first and found[first - 1][0].rpartition("/")[2] in HEADING:
+        chain = next(x.chain for x in found if node in x.chain)
+        article = [e for e in chain[: chain.index(node) + 1] if e[1] == "article"]
+        node = article[-1] if article else node
+        kept = [i for i, x in enumerate(found) if node in x.chain]
+    else:
+        kept = [i for i, x in enumerate(found) if x.path in content]
+        kept = [*range(kept[0], kept[-1] + 1)] if kept else []
+    first = kept[0] if kept else 0
+    while first and found[first - 1].chain and found[first - 1].chain[-1][1] in HEADING:
         first -= 1
-    return "\n".join(text for _, _, text in found[first : kept[-1] + 1 if kept else 0])
+    return "\n".join(found[i].text for i in [*range(first, kept[0] if kept else 0), *kept])
 
 
 def main_text(pages: DataFrame, page: str = "html") -> DataFrame:

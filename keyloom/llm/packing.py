@@ -3,18 +3,20 @@
 A document's ids are first cut into full windows; each fills a sequence of its own. What is left
 of each document is dealt out in order of decreasing length, each piece into the tightest open
 sequence that holds it: a segment tree over the remaining capacities finds it in a logarithm of
-the window's length. Each task packs the documents of its own partition, so nothing is shuffled
-and no task sees more than its input; a sequence's id names the partition and its place there,
-and a repeated task gives the same ids.
-
-Null and empty texts hold only the closing id. A document that fills its windows exactly leaves no
-piece. Repeated rows are packed as often as they stand there.
+the window's length. Each task packs all documents of its own partition together, so nothing is
+shuffled and no task sees more than its input, of which it holds five numbers for each piece; a
+sequence's id names the partition and its place there, and a repeated task gives the same ids.
+
+Null and empty texts hold only the closing id; a text may have any length. A document that fills its
+windows exactly leaves no piece. Null ids are kept as they are; repeated rows are packed as often as
+they stand there. Pieces of equal length are dealt out in the order in which they are read. Only the
+id and the text of docs are read, so that its other columns may have any names.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,11 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import END, PATTERN, Pieces, batches
+from .pieces import END, Pieces, batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces that a task packs together at most; further ones start anew.
-CHUNK = 200_000
 
 
 class Capacities:
@@ -80,31 +80,31 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 class Encoder:
-    """Whole texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Whole texts to little-endian unsigned 32-bit ids, as bytes; the library gives the ids of each new piece."""
 
-    def __init__(self, ranks: str, end_id: int):
-        import tiktoken
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks, "rb") as f:
-            by_bytes = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        # single white-space characters need no look-ahead, which makes the pattern much faster
-        single = PATTERN.split("|[")[0] + r"|\s"
-        self.encode, self.encode_single = (tiktoken.Encoding("pieces", pat_str=x, mergeable_ranks=by_bytes, special_tokens={})._core_bpe.encode_ordinary for x in (PATTERN, single))
-        self.sizes = np.zeros(max(by_bytes.values()) + 1, np.int64)
-        self.sizes[list(by_bytes.values())] = [len(x) for x in by_bytes]
-        self.end = np.uint32(end_id).tobytes()
-        self.pieces = Pieces(self._learn, self._learn_spaced, 600_000)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.end = np.uint32(self.tokenizer.token_to_id(END)).tobytes()
+        known = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(known.values()) + 1, np.int64)
+        self.sizes[list(known.values())] = [len(x) for x in known]  # a character of a byte-level token is a byte
+        self.pieces = Pieces(lambda new: [self._encode(x).tobytes() for x in new], self._learn_spaced, 600_000)
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        return [np.array(self.encode(x), np.uint32).tobytes() for x in new]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn_spaced(self, new: list[str]) -> list[bytes]:
-        """Encodes all at once; a token never spans two of them, so that lengths in bytes find each one's ids."""
-        joined = "".join([" " + x for x in new])
-        ids = np.array(self.encode_single(joined), np.uint32)
-        stops = 4 + 4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x) + 1 for x in joined.encode().split(b" ")[1:]], dtype=np.int64))
-        whole, stops = ids.tobytes(), stops.tolist()
-        return [whole[a:b] for a, b in zip([0, *stops], stops)]
+        """Encodes many pieces at once; a token never spans two of them, so that lengths in bytes find each one's ids."""
+        out: list[bytes] = []
+        for a, b in batches(new, 20_000):
+            joined = "".join([" " + x for x in new[a:b]])
+            ids = self._encode(joined)
+            stops = 4 + 4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x) + 1 for x in joined.encode().split(b" ")[1:]], dtype=np.int64))
+            whole, stops = ids.tobytes(), stops.tolist()
+            out += [whole[x:y] for x, y in zip([0, *stops], stops)]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split(END) for t in texts]
@@ -113,41 +113,38 @@ class Encoder:
 
 
 @cache
-def _encoder(ranks: str, end_id: int) -> Encoder:
+def _encoder(vocabulary: str) -> Encoder:
     """One for each Python worker."""
-    return Encoder(ranks, end_id)
+    return Encoder(vocabulary)
 
 
-def pack(docs: DataFrame, ranks: str, window: int = 2048, close: int = 1, end_id: int = 50256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, close: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and the place there.
 
-    ranks: path of a byte-level BPE rank file that every worker has; close: id that ends each
-    document; end_id: id of the vocabulary's end string inside a text.
+    vocabulary: path of a byte-level BPE file that every worker has; close: id that ends each document.
     """
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = _encoder(ranks, end_id), TaskContext.get()
-        base, used, closing = (context.partitionId() if context else 0) << 36, 0, np.uint32(close).tobytes()
-        rows: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal used
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
-            sequence, offset, made = best_fit_decreasing(columns[2].to_numpy(), window)
-            yield from pa.Table.from_arrays([*columns, pa.array(base + used + sequence), pa.array(offset)], [c.split()[0] for c in SCHEMA.split(", ")]).to_batches(50_000)
-            used += made
-            rows.clear()
-
+        encoder, context = _encoder(vocabulary), TaskContext.get()
+        base, closing = (context.partitionId() if context else 0) << 36, np.uint32(close).tobytes()
+        ids: list[pa.Array] = []
+        rows = array("q")  # number of the document, start, length, ids_crc32, doc_tokens
+        number = 0
         for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            ids.append(part.column(0))
+            texts = part.column(1).to_pylist()
             for a, b in batches(texts):
-                for doc, got in zip(ids[a:b], encoder.ids(texts[a:b]), strict=True):
+                for got in encoder.ids(texts[a:b]):
                     got = memoryview(got + closing)
                     n = len(got) // 4
-                    rows += [(doc, s, min(window, n - s), zlib.crc32(got[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-                if len(rows) >= CHUNK:
-                    yield from flush()
-        yield from flush()
+                    for s in range(0, n, window):
+                        rows.extend((number, s, min(window, n - s), zlib.crc32(got[4 * s : 4 * (s + window)]), n))
+                    number += 1
+        if number:
+            of, *columns = np.frombuffer(rows, np.int64).reshape(-1, 5).T
+            sequence, offset, _ = best_fit_decreasing(columns[1], window)
+            whole = pa.chunked_array(ids).take(pa.array(of))
+            yield from pa.Table.from_arrays([whole, *map(pa.array, columns), pa.array(base + sequence), pa.array(offset)], [c.split()[0] for c in SCHEMA.split(", ")]).to_batches(50_000)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text")).mapInArrow(task, SCHEMA)
 
@@ -155,14 +152,14 @@ def pack(docs: DataFrame, ranks: str, window: int = 2048, close: int = 1, end_id
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of the documents that are left."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from keyloom.llm import html_extraction, packing, token_counts
 
-RANKS, VOCABULARY = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, n_bytes string"
 
 
@@ -43,7 +43,7 @@ def test_token_counts(docs, tokenizer):
 
 
 def test_packing_gives_back_all_ids(docs, tokenizer):
-    rows = packing.pack(docs, RANKS, window=64).collect()
+    rows = packing.pack(docs, VOCABULARY, window=64).collect()
     wanted = sorted((i if i is not None else -1, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in [*enumerate(texts()), (None, "no id"), (0, "id again")])
     pieces = {}
     for doc, ids in wanted:
@@ -58,7 +58,16 @@ def test_packing_gives_back_all_ids(docs, tokenizer):
     for spans in filled.values():
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 64
-    assert packing.pack(docs.limit(0), RANKS).count() == 0
+    assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_packing_takes_a_partition_together(spark):
+    rows = spark.range(300_000).coalesce(1).selectExpr("id doc_id", "IF(id % 2 = 0, repeat(' word', 40), 'a b') text", "id sequence_id")
+    packed = packing.pack(rows, VOCABULARY, window=64).toPandas()
+    used = packed.groupby("sequence_id").length.sum()
+    assert len(packed) == 300_000 and used.max() <= 64
+    # 41 and 3 ids: seven short ones fit beside a long one, and the rest fill sequences of their own
+    assert len(used) == 150_000 and (used == 62).sum() == 150_000 // 7
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -97,6 +106,48 @@ def test_extraction(page, text):
     assert html_extraction.extract(page or "") == text
 
 
+PARAGRAPHS = ["The first paragraph, which is long enough to count.", "A second one follows, with more to say about it.", "And the third one ends it, as it should."]
+BODY = "<h1>On it</h1>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+WHOLE = "\n".join(["On it", *PARAGRAPHS])
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout with-sidebar'", "div class='social-science'", "form", "div id=page-menu-open", "section class=main", "main", "div class='notice'", "header"])
+def test_wrappers_keep_their_text(wrapper):
+    page = f"<html><body><nav><a href=/>Home</a></nav><{wrapper}>{BODY}</{wrapper.split()[0]}><footer>c, 2020.</footer></body></html>"
+    assert html_extraction.extract(page) == WHOLE
+
+
+@pytest.mark.parametrize("noise", ["<div class=ad>Buy it, now, at once, and here.</div>", "<div class='ad-banner top'><p>Buy it, now.</p></div>", "<aside><h2>More</h2><p>A sidebar, with text.</p></aside>", "<form><p>Your name, please.</p><input><label>Name</label></form>", "<div id='cookie-notice'>We use cookies, as all do.</div>", "<section class=comments>" + "<p>I read it, and I say so at length, as I always do here.</p>" * 30 + "</section>", "<ol class='comment-list'>" + "<li>Nice, very nice, I say.</li>" * 9 + "</ol>", "<div class='related-posts'><ul><li><a href=/1>One, two</a><li><a href=/2>Three</a></ul></div>", "<ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>", "<div class=sidebar><p>A long text beside it, which says nothing, and says it twice.</p></div>"])
+@pytest.mark.parametrize("inner", [BODY, f"<article>{BODY}</article>", f"<div id=content>{BODY}</div>", f"<main><div><h1>On it</h1></div><div>{BODY[14:]}</div></main>".replace("<div><h1>On it</h1></div>", "<h1>On it</h1>")])
+def test_noise_beside_and_after(noise, inner):
+    assert html_extraction.extract(f"<html><body><header><p>The site</p></header>{inner}{noise}<footer>c, 2020.</footer></body></html>") == WHOLE
+    assert html_extraction.extract(f"<body>{noise}{inner}") == WHOLE
+
+
+def test_short_articles_beside_long_adverts():
+    page = "<body><div class=ad>Nicht aulich, für sch erüver enau sch der, und so fort.</div><article><h1>Of</h1><p>Of.</p></article><footer>A footer, longer than the article is, by far.</footer>"
+    assert html_extraction.extract(page) == "Of\nOf."
+
+
+def test_path_ratios_against_a_plain_computation():
+    found, _ = html_extraction.blocks(f"<body><div>one, two.</div>{BODY}<ul><li><a>x</a><li><a>y</a></ul><div>three</div>")
+    paths = list(dict.fromkeys(x.path for x in found))
+    of = {p: [x.text for x in found if x.path == p] for p in paths}
+    length = [sum(map(len, of[p])) / len(of[p]) for p in paths]
+    marks = [(1 + sum(t.count(c) for t in of[p] for c in ".,;:!?")) / len(of[p]) for p in paths]
+
+    def smooth(r):
+        r = [x / max(r) for x in r]
+        return [0.25 * r[max(0, i - 1)] + 0.5 * r[i] + 0.25 * r[min(len(r) - 1, i + 1)] for i in range(len(r))]
+
+    most = max(sum(map(len, t)) for t in of.values())
+    want = {p: a * b * sum(map(len, of[p])) / most for p, a, b in zip(paths, smooth(length), smooth(marks))}
+    want["body/ul/li"] = 0
+    got = html_extraction.path_ratios(found)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert html_extraction.content_paths(got, 0.5) == {"body/p"}
+
+
 def test_extraction_over_a_table(spark):
     rows = spark.createDataFrame([(1, "u", ARTICLE), (1, "u", ARTICLE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     assert [(r.text, r.n_chars) for r in html_extraction.main_text(rows).collect()] == [(MAIN, len(MAIN))] * 2 + [("", 0)]
