@@ -72,11 +72,10 @@ def test_all_pairs_are_counted(docs):
     assert len(bundles) > 1 and min(want.values()) == 1
     for row in bundles:
         row["pairs"] = [r.asDict() for r in table if r.bundle == row["bundle"]]
-        own = lm_scoring._known(row, classes, lm_scoring._buckets(docs.sparkSession))
+        own = lm_scoring._within(row, classes, lm_scoring._buckets(docs.sparkSession))
         ids, ends = lm_scoring._tokens(row)
         last = attention.before(ids, ends, lm_scoring.VOCABULARY - 1)
-        assert np.allclose(own.within_class(last, ids), whole.within_class(last, ids))
-        assert {int(k): int(n) for k, n in zip(own.pairs, own.times) if n} == {int(k): want[divmod(int(k), lm_scoring.VOCABULARY)] for k in own.pairs if want[divmod(int(k), lm_scoring.VOCABULARY)]}
+        assert np.allclose(own, whole.within_class(last, ids))
     classes.follow_by(lm_scoring._cells(docs.sparkSession.createDataFrame(table), 513 * 96))
     assert np.allclose(classes.follow, whole.follow)
 
@@ -111,6 +110,48 @@ def test_attention_is_a_distribution_and_causal():
     assert np.allclose(scorer.log_probabilities(ids[10:], np.array([40])), logs[10:], atol=1e-4)
 
 
+def test_scores_against_a_plain_loop():
+    """Attention over each place's own context, one at a time, without tables or windows' batches."""
+    classes, p, n = small_model()
+    p["q"] *= 40  # attention far from even
+    ids = np.random.default_rng(4).integers(0, n - 1, 45)
+    got = attention.Scorer(p, classes).log_probabilities(ids, np.array([20, 45]), batch=3)
+    for start, end in ((0, 20), (20, 45)):
+        into = [classes.into[classes.end if t == start else ids[t - 1]] for t in range(start, end)]
+        for t in range(end - start):
+            first = max(0, t // attention.STRIDE * attention.STRIDE - attention.STRIDE)
+            x = p["e"][into[t]]
+            heed = np.array([x @ p["q"] @ (p["e"][into[s]] @ p["k"]) / math.sqrt(5) + p["near"][t - s] for s in range(first, t + 1)])
+            share = np.exp(heed - heed.max()) / np.exp(heed - heed.max()).sum()
+            z = sum(w * (p["e"][into[s]] @ p["v"]) for w, s in zip(share, range(first, t + 1))) + x @ p["r"] + p["h"]
+            logits = np.maximum(z, 0) @ p["o"] + p["b"][into[t]]
+            y = ids[start + t]
+            before = classes.end if t == 0 else ids[start + t - 1]
+            times = dict(zip(classes.pairs.tolist(), classes.times.tolist()))
+            total = sum(m for k, m in times.items() if k // n == before and classes.out[k % n] == classes.out[y])
+            alone = classes.within[y] >= 1
+            within = 0 if alone else math.log((times.get(before * n + y, 0) + attention.PRIOR * classes.within[y]) / (total + attention.PRIOR))
+            assert abs(got[start + t] - (logits[classes.out[y]] - np.log(np.exp(logits - logits.max()).sum()) - logits.max() + within)) < 1e-3
+
+
+def test_gradients_against_differences():
+    classes, p, n = small_model()
+    r = np.random.default_rng(8)
+    p = {k: x.astype(np.float64) for k, x in p.items()}
+    c, y = r.integers(0, 7, (6, attention.WIDTH)), r.integers(-1, 4, (6, attention.STRIDE))
+    c[:, -attention.STRIDE :] = np.minimum(c[:, -attention.STRIDE :], 5)
+    _, grad = attention.gradients(p, c, y)
+    for name, g in grad.items():
+        for at in r.integers(0, g.size, 5):
+            both = []
+            for step in (1e-4, -1e-4):
+                other = {k: x.copy() for k, x in p.items()}
+                other[name].ravel()[at] += step
+                both.append(attention.gradients(other, c, y)[0])
+            want = (both[0] - both[1]) / 2e-4
+            assert abs(g.ravel()[at] - want) < 1e-4 + 1e-2 * abs(want), name
+
+
 def test_windows_score_every_place_once():
     ends = np.array([1, 17, 17 + 16, 90])
     at, inside = attention.windows(ends)
