@@ -35,16 +35,20 @@ def kind_of_type(t: T.DataType) -> str:
     raise TypeError(f"{t.simpleString()} can't be part of a key")
 
 
+def _lit(value) -> F.Column:
+    return F.lit(str(value) if isinstance(value, uuid.UUID) else value)
+
+
 def as_tuple(bound) -> tuple:
     return tuple(bound) if isinstance(bound, (tuple, list)) else (bound,)
 
 
 class KeySpec:
-    """The ordered key columns of a table."""
+    """The ordered key columns of a table. uuids: those that hold UUIDs as their usual text, in lower case."""
 
-    def __init__(self, schema: T.StructType, columns: list[str]):
+    def __init__(self, schema: T.StructType, columns: list[str], uuids: tuple[str, ...] = ()):
         self.columns = list(columns)
-        self.kinds = [kind_of_type(schema[c].dataType) for c in columns]
+        self.kinds = ["uuid" if c in uuids else kind_of_type(schema[c].dataType) for c in columns]
 
     def order(self, reverse: bool = False) -> list[F.Column]:
         return [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in self.columns]
@@ -56,14 +60,14 @@ class KeySpec:
     def _equal(c: F.Column, kind: str, b) -> F.Column:
         if b is None:
             return c.isNull()
-        return c == F.lit(b) if kind == kind_of_value(b) else F.lit(False)
+        return c == _lit(b) if kind == kind_of_value(b) else F.lit(False)
 
     @staticmethod
     def _above(c: F.Column, kind: str, b) -> F.Column:
         if b is None:
             return c.isNotNull()
         if kind == (other := kind_of_value(b)):
-            return c > F.lit(b)
+            return c > _lit(b)
         return c.isNotNull() if KINDS.index(kind) > KINDS.index(other) else F.lit(False)
 
     @staticmethod
@@ -71,7 +75,7 @@ class KeySpec:
         if b is None:
             return F.lit(False)
         if kind == (other := kind_of_value(b)):
-            return c.isNull() | (c < F.lit(b))
+            return c.isNull() | (c < _lit(b))
         return F.lit(True) if KINDS.index(kind) < KINDS.index(other) else c.isNull()
 
     def at_least(self, bound, closed: bool = True) -> F.Column:
@@ -94,7 +98,7 @@ class KeySpec:
             return F.lit(closed)
         c, kind, b = parts[-1]
         if closed and b is not None and kind == kind_of_value(b):  # one comparison where one will do
-            out = c >= F.lit(b) if side == self._above else c.isNull() | (c <= F.lit(b))
+            out = c >= _lit(b) if side == self._above else c.isNull() | (c <= _lit(b))
         else:
             out = side(c, kind, b) | self._equal(c, kind, b) if closed else side(c, kind, b)
         for part in reversed(parts[:-1]):

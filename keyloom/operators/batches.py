@@ -7,39 +7,99 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .collection import positions
+from ..functions.bounds import KeySpec
+from .collection import ascending, positions, ranged, scan
+from .shared import cut
 
 
 def batch_numbers(df: DataFrame, key: list[str], max_recs: int) -> DataFrame:
     """Adds batch: max_recs records each, in key order."""
-    rows = positions(df, [F.col(c).asc_nulls_first() for c in key], "_pos")
+    rows = positions(df, ascending(key), "_pos")
     return rows.withColumn("batch", F.floor((F.col("_pos") - 1) / max_recs).cast("long")).drop("_pos")
 
 
 def grouped_batch_numbers(df: DataFrame, key: list[str], max_recs: int, grouper: F.Column) -> DataFrame:
     """Adds batch: of max_recs records at most, broken wherever the grouper's value changes in key order.
 
-    Positions come from a distributed sort. Islands are found from the places where the value
-    changes, which a join by position gives, and numbered by a second one over those places.
+    Every range of a sort finds its own breaks; one row for each range carries over how many records
+    and which group stand before it, and where the island at its start began.
     """
-    rows = positions(df.withColumn("_group", grouper), [F.col(c).asc_nulls_first() for c in key], "_pos")
-    before = rows.select((F.col("_pos") + 1).alias("_pos"), F.col("_group").alias("_last"), F.lit(1).alias("_there"))
-    marked = rows.join(before, "_pos", "left").withColumn("_break", F.col("_there").isNull() | ~F.col("_group").eqNullSafe(F.col("_last")))
-    # the islands of one group stay apart by the running count of breaks within ranges of positions
-    size = 100_000
-    ranged = marked.withColumn("_range", F.floor((F.col("_pos") - 1) / size))
-    starts = ranged.groupBy("_range").agg(F.max(F.when(F.col("_break"), F.col("_pos"))).alias("_at"))
-    carry = starts.select((F.col("_range") + 1).alias("_range"), F.max("_at").over(Window.orderBy("_range")).alias("_carry"))
-    within = F.max(F.when(F.col("_break"), F.col("_pos"))).over(Window.partitionBy("_range").orderBy("_pos"))
-    rows = ranged.withColumn("_own", within).join(carry, "_range", "left").withColumn("_start", F.coalesce("_own", "_carry"))
+    order = ascending(key)
+    rows = ranged(df.withColumn("_group", F.struct(grouper.alias("g"))), order)
+    within, ranges = Window.partitionBy("_part").orderBy(*order), Window.orderBy("_part")
+    rows = rows.withColumns({"_n": F.row_number().over(within), "_last": F.lag("_group").over(within)})
+    ends = rows.groupBy("_part").agg(F.count("*").alias("_count"), F.max_by("_group", "_n").alias("_end"))
+    ends = ends.select("_part", (F.sum("_count").over(ranges) - F.col("_count")).alias("_before"), F.lag("_end").over(ranges).alias("_carried"))
+    rows = rows.join(F.broadcast(ends), "_part").withColumn("_pos", F.col("_before") + F.col("_n"))
+    last = F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_last"))
+    rows = rows.withColumn("_break", F.when(last.isNull() | ~F.col("_group").eqNullSafe(last), F.col("_pos")))
+    starts = rows.groupBy("_part").agg(F.max("_break").alias("_at"))
+    starts = starts.select("_part", F.max("_at").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    rows = rows.join(F.broadcast(starts), "_part").withColumn("_start", F.coalesce(F.max("_break").over(within), "_open"))
     first = F.col("_start") + F.floor((F.col("_pos") - F.col("_start")) / max_recs) * max_recs
     return rows.withColumn("batch", first.cast("long")).select(*df.columns, "batch")
 
 
+def greedy_batch_numbers(df: DataFrame, key: list[str], max_recs: int | None = None, max_bytes: int | None = None, grouper: F.Column | None = None) -> DataFrame:
+    """Adds batch, filled in key order: a record that would bring it above max_recs records or max_bytes bytes of JSON, or whose group differs, begins another.
+
+    A record that alone is larger has a batch of its own. What a batch holds depends on all before
+    it, so batches end with their range of the sort; by a count alone, batch_numbers has none of that.
+    """
+    if not (max_recs or max_bytes):
+        raise ValueError("max_recs or max_bytes")
+    order = ascending(key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_size", F.octet_length(F.to_json(F.struct(*df.columns)))).withColumn("_group", F.to_json(F.struct((F.lit(0) if grouper is None else grouper).alias("g"))))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, held, size, group = TaskContext.get().partitionId() << 40, 0, 0, None
+        for part in parts:
+            *_, sizes, groups = (c.to_pylist() for c in part.columns)
+            numbers = []
+            for s, g in zip(sizes, groups, strict=True):
+                if held and (g != group or max_recs and held == max_recs or max_bytes and size + s > max_bytes):
+                    batch, held, size = batch + 1, 0, 0
+                held, size, group = held + 1, size + s, g
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(numbers, pa.int64())], [*part.schema.names[:-2], "batch"])
+
+    return rows.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
+
+
+def incremental_batches(df: DataFrame, key: str, max_recs: int, step: int) -> Iterator[DataFrame]:
+    """Batches of max_recs, step records at a time, each time from the last key on until none is left: yields the numbered records of each step."""
+    spec, last, made = KeySpec(df.schema, [key]), None, 0
+    while True:
+        rows = cut(scan(df if last is None else df.where(spec.at_least(last, closed=False)), spec, max=step))
+        last, found = rows.agg(F.max(key), F.count("*")).first()
+        if not found:
+            return
+        yield batch_numbers(rows, [key], max_recs).withColumn("batch", F.col("batch") + F.lit(made))
+        made += -(-found // max_recs)
+
+
+def rebatch(batches: DataFrame, singles: DataFrame, key: list[str], max_recs: int, preserve: bool = True) -> DataFrame:
+    """All records in batches of max_recs: those that batches hold already, and single ones.
+
+    preserve: batches stay as they are, and no new one reaches across them; else all are made anew.
+    """
+    if not preserve:
+        return pack_batches(batch_numbers(expand(batches).select(*singles.columns).unionByName(singles), key, max_recs), key)
+    barriers = batches.select("lo.*", F.col("batch").alias("_barrier"), *[F.lit(None).cast(singles.schema[c].dataType).alias(c) for c in singles.columns if c not in key])
+    rows = singles.withColumn("_barrier", F.lit(None).cast("long")).unionByName(barriers)
+    numbered = grouped_batch_numbers(rows, key, max_recs, F.col("_barrier")).where("_barrier IS NULL").drop("_barrier")
+    top = F.coalesce(F.lit(batches.agg(F.max("batch")).first()[0]), F.lit(0)) + 1
+    return batches.unionByName(pack_batches(numbered, key).withColumn("batch", F.col("batch") + top))
+
+
 def pack_batches(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per batch: batch, lo, hi (structs of the key), n and rows, the records in key order."""
     lead = [*key, *[c for c in df.columns if c not in (*key, "batch")]]
@@ -52,6 +112,18 @@ def expand(batches: DataFrame) -> DataFrame:
     return batches.select(F.inline("rows"))
 
 
+def scan_batches(batches: DataFrame, max_phys: int | None = None, reverse: bool = False) -> DataFrame:
+    """The records of the first max_phys batches in key order, or of the last."""
+    order = F.col("lo").desc_nulls_last() if reverse else F.col("lo").asc_nulls_first()
+    rows = batches if max_phys is None else batches.orderBy(order).limit(max_phys)
+    return expand(rows)
+
+
+def members(batches: DataFrame, batch: int) -> DataFrame:
+    """The records of one batch."""
+    return expand(batches.where(F.col("batch") == batch))
+
+
 def look_up(batches: DataFrame, key: list[str], at) -> DataFrame:
     """The batch whose range holds a key; lo and hi are the batches' zone map."""
     probe = F.struct(*[F.lit(x).cast(batches.schema["lo"].dataType[c].dataType).alias(c) for c, x in zip(key, at if isinstance(at, tuple) else (at,), strict=True)])
@@ -64,11 +136,11 @@ def replace_in(batches: DataFrame, key: list[str], changes: DataFrame, deleted:
     changes: the records' columns, and what deleted refers to.
     """
     names = [f.name for f in batches.schema["rows"].dataType.elementType.fields]
-    marked = changes.withColumn("_deleted", F.lit(False) if deleted is None else deleted)
-    members = batches.select(F.col("batch").alias("_of"), F.inline("rows"))
-    touched = members.join(marked.select(*key), key, "left_semi").select("_of").distinct()
+    marked = changes.withColumn("_deleted", F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False)))
+    held = batches.select(F.col("batch").alias("_of"), F.inline("rows"))
+    touched = held.join(marked.select(*key), key, "left_semi").select("_of").distinct()
     kept = batches.join(touched, F.col("batch") == F.col("_of"), "left_anti")
-    apart = members.join(touched, "_of", "left_semi").select(*names).join(marked.select(*key), key, "left_anti")
+    apart = held.join(touched, "_of", "left_semi").select(*names).join(marked.select(*key), key, "left_anti")
     singles = apart.unionByName(marked.where(~F.col("_deleted")).select(*names))
     one = singles.select(F.lit(None).cast("long").alias("batch"), F.struct(*key).alias("lo"), F.struct(*key).alias("hi"), F.lit(1).cast("long").alias("n"), F.array(F.struct(*names)).alias("rows"))
     return kept.unionByName(one)

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .collection import positions
+from .collection import ascending, positions, previous_rows, sums_before
+from .shared import cut
 
 
 def fold(log: DataFrame, key: list[str], sequence: list[str], deleted: F.Column | None = None) -> DataFrame:
@@ -28,14 +28,14 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], sequence: lis
     """Current records after a batch of changes; deleted names a boolean column of changes."""
     values = [c for c in current.columns if c not in key]
     old = current.select(*key, F.lit(0).alias("_new"), F.struct(*[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in sequence]).alias("_at"), F.lit(False).alias("_deleted"), F.struct(*values).alias("_row"))
-    new = changes.select(*key, F.lit(1).alias("_new"), F.struct(*sequence).alias("_at"), (F.col(deleted) if deleted else F.lit(False)).alias("_deleted"), F.struct(*values).alias("_row"))
+    new = changes.select(*key, F.lit(1).alias("_new"), F.struct(*sequence).alias("_at"), (F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)).alias("_deleted"), F.struct(*values).alias("_row"))
     last = old.unionByName(new).groupBy(*key).agg(F.max_by(F.struct("_row", "_deleted"), F.struct("_new", "_at")).alias("_last"))
     return last.where(~F.col("_last._deleted")).select(*key, "_last._row.*")
 
 
 def auto_increment(rows: DataFrame, order: list[str], start: int = 1, name: str = "k") -> DataFrame:
     """Dense keys in a declared order of insertion, from start."""
-    return positions(rows, [F.col(c).asc_nulls_first() for c in order], name).withColumn(name, F.col(name) + F.lit(start - 1).cast("long"))
+    return positions(rows, ascending(order), name).withColumn(name, F.col(name) + F.lit(start - 1).cast("long"))
 
 
 def counters(increments: DataFrame, name: str, init: int = 1, by: str | None = None) -> DataFrame:
@@ -46,20 +46,24 @@ def counters(increments: DataFrame, name: str, init: int = 1, by: str | None = N
 
 def counter_reads(increments: DataFrame, name: str, order: list[str], init: int = 1, by: str | None = None) -> DataFrame:
     """What each increment reads: the counter's value before it. An increment of 0 only looks."""
-    w = Window.partitionBy(name).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    step = F.lit(1) if by is None else F.col(by)
-    return increments.withColumn("read", (F.coalesce(F.sum(step).over(w), F.lit(0)) + F.lit(init)).cast("long"))
+    out = sums_before(increments, [name], order, F.lit(1) if by is None else F.col(by), "read")
+    return out.withColumn("read", (F.col("read") + F.lit(init)).cast("long"))
+
+
+def _same_key(key: list[str]) -> F.Column:
+    return F.struct(*[F.col(c) for c in key]).eqNullSafe(F.struct(*[F.col(f"_before.{c}").alias(c) for c in key]))
 
 
 def with_previous(log: DataFrame, key: list[str], sequence: list[str], value: str, name: str = "old") -> DataFrame:
-    """Each change with the value that the change before it left."""
-    return log.withColumn(name, F.lag(value).over(Window.partitionBy(*key).orderBy(*sequence)))
+    """Each change with the value that the change before it left; a key's changes may span any number of tasks."""
+    rows = previous_rows(log, ascending([*key, *sequence]), [*key, value], "_before")
+    return rows.withColumn(name, F.when(_same_key(key), F.col(f"_before.{value}"))).drop("_before")
 
 
 def classified(log: DataFrame, key: list[str], sequence: list[str], name: str = "ev") -> DataFrame:
     """Changes as create (the key's first) or replace."""
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*sequence)) == 1
-    return log.withColumn(name, F.when(first, "create").otherwise("replace"))
+    rows = previous_rows(log, ascending([*key, *sequence]), key, "_before")
+    return rows.withColumn(name, F.when(F.col("_before").isNotNull() & _same_key(key), "replace").otherwise("create")).drop("_before")
 
 
 def index_changes(log: DataFrame, key: list[str], sequence: list[str], entries: str) -> DataFrame:
@@ -83,19 +87,39 @@ def keep_first(rows: DataFrame, same: list[str], order: str) -> DataFrame:
     return out.select(*same, "_first.*").select(*rows.columns)
 
 
-def ancestors(rows: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFrame:
-    """node and path, the ids from the root down: parents looked up level by level; rows on no path to a root go."""
-    from functools import reduce
+def roll_up(rows: DataFrame, key: list[str], time: str) -> DataFrame:
+    """Of each key its first and last time, and how many rows it has."""
+    return rows.groupBy(*key).agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("n"))
+
 
-    level = rows.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.array(node).alias("path"))
-    levels = [level]
-    children = rows.where(F.col(parent).isNotNull()).select(F.col(node).alias("child"), F.col(parent).alias("node"))
-    for _ in range(rounds):
-        level = levels[-1].join(children, "node").select(F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"))
-        if not level.take(1):
-            break
-        levels.append(level)
-    return reduce(DataFrame.union, levels)
+def ancestors(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """node and path, the ids from the root down. Rows on no path to a root go: those under a missing parent, and those in or under a ring.
+
+    Each round joins every open path with its head's own, so that a depth of d takes the logarithm of d rounds.
+    """
+    state = rows.select(F.col(node).alias("node"), F.array(F.col(node).cast(rows.schema[parent].dataType)).alias("path"), F.col(parent).alias("head"))
+    state = cut(state)
+    while state.where("head IS NOT NULL").take(1):
+        above = state.select(F.col("node").alias("_at"), F.col("path").alias("_above"), F.col("head").alias("_head"))
+        longer = state.where("head IS NOT NULL").join(above, F.col("head") == F.col("_at"))
+        ring = F.arrays_overlap("path", "_above") | F.coalesce(F.array_contains("_above", F.col("_head")), F.lit(False)) | F.coalesce(F.array_contains("path", F.col("_head")), F.lit(False))
+        longer = longer.where(~ring).select("node", F.concat("_above", "path").alias("path"), F.col("_head").alias("head"))
+        state = cut(state.where("head IS NULL").union(longer))
+    return state.select("node", "path")
+
+
+def orphans(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
+    """Children whose reference is set in all columns, but to no parent: what breaks a foreign key."""
+    return children.dropna(subset=on).join(parents.select(*on), on, "left_anti")
+
+
+def import_log(current: DataFrame | None, raw: DataFrame, key: list[str], time: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """An import of raw records that may repeat: the collection with the first record of each key added, and its owners with first and last time and count."""
+    new = keep_first(raw, key, time)
+    if current is not None:
+        new = new.join(current.select(*key), key, "left_anti")
+    whole = new if current is None else current.unionByName(new)
+    return whole, roll_up(whole, [owner], time)
 
 
 def cascade(children: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:

@@ -71,3 +71,9 @@ class Index:
         head, rest = self.tuple[:n], self.tuple[n:]
         least = self.df.groupBy(*head).agg(F.min(F.struct(*rest)).alias("_least"))
         return least.select(*head, "_least.*")
+
+    def groups(self, by: list[str], value: str, name: str = "keys") -> DataFrame:
+        """The values of each group in index order, as one array: for groups that fit in a row; pairs() has them as rows."""
+        rest = [c for c in self.tuple if c not in by]
+        entries = F.array_sort(F.collect_list(F.struct(*rest, *[c for c in self.of.key if c not in rest])))
+        return self.df.groupBy(*by).agg(F.transform(entries, lambda x: x[value]).alias(name))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .changes import auto_increment
+from .changes import auto_increment, fold, orphans
 from .collection import Collection
+from .shared import cut
 
 
 class ConstraintError(Exception):
@@ -75,23 +76,46 @@ def _mark(role: str) -> Callable:
 
 
 #: Functions of a model without self: key and index give columns by name, constraint a boolean
-#: column; before_* take and give a frame of records, after_* take one (after_replace: with old).
-key, index, constraint = _mark("key"), _mark("index"), _mark("constraint")
+#: column, reference the columns of a foreign key and the frame that has to hold them; before_* take
+#: and give a frame of records, after_* take one (after_replace: with the old ones as the struct old).
+key, index, constraint, reference = _mark("key"), _mark("index"), _mark("constraint"), _mark("reference")
 before_create, before_update, before_delete = _mark("before_create"), _mark("before_update"), _mark("before_delete")
 after_create, after_update, after_replace, after_delete = _mark("after_create"), _mark("after_update"), _mark("after_replace"), _mark("after_delete")
 
 
+class _IndexAttribute:
+    """An index function, which on a bound model is the index itself."""
+
+    def __init__(self, f: Callable):
+        self.f, self._roles = f, f._roles
+
+    def __get__(self, _, owner):
+        return owner.bound().indices[self.f.__name__] if owner.store is not None else self.f
+
+
 class Model:
-    """Subclasses declare Fields and functions marked as key, index, constraint or hook; both are inherited."""
+    """Subclasses declare Fields and functions marked as key, index, constraint, reference or hook; both are inherited.
+
+    save and delete give a collection's new rows and leave it at that. Of a model that is bound to
+    a store, put and remove write them in a transaction, and after_* hooks hear of what was written.
+    """
 
     fields: dict[str, Field] = {}
     hooks: dict[str, list[Callable]] = {}
+    store = None
+    name: str | None = None
 
     def __init_subclass__(cls, **kw):
         super().__init_subclass__(**kw)
+        inherited = {n for c in cls.__mro__[1:] for n, v in vars(c).items() if isinstance(v, _IndexAttribute)}
+        if again := inherited.intersection(n for n, v in vars(cls).items() if "index" in getattr(v, "_roles", ())):
+            raise TypeError(f"{cls.__name__} declares an inherited index anew: {min(again)}")
+        for n, v in list(vars(cls).items()):
+            if "index" in getattr(v, "_roles", ()) and not isinstance(v, _IndexAttribute):
+                setattr(cls, n, _IndexAttribute(v))
         cls.fields = {n: v for c in reversed(cls.__mro__) for n, v in vars(c).items() if isinstance(v, Field)}
         named = {n: v for c in reversed(cls.__mro__) for n, v in vars(c).items() if hasattr(v, "_roles") or hasattr(getattr(v, "__func__", None), "_roles")}
-        functions = {n: getattr(v, "__func__", v) for n, v in named.items()}
+        functions = {n: v.f if isinstance(v, _IndexAttribute) else getattr(v, "__func__", v) for n, v in named.items()}
         cls.hooks = {}
         for f in functions.values():
             for role in f._roles:
@@ -127,11 +151,22 @@ class Model:
             out.add_index(f.__name__, f())
         return out
 
+    @classmethod
+    def broken_references(cls, df: DataFrame) -> DataFrame:
+        """Rows whose foreign keys refer to nothing, with the reference's name."""
+        rows = cls.shape(df)
+        out = rows.limit(0).withColumn("constraint", F.lit(""))
+        for f in cls.hooks.get("reference", ()):
+            columns, parents = f()
+            out = out.unionByName(orphans(rows, parents, columns).withColumn("constraint", F.lit(f.__name__)))
+        return out
+
     @classmethod
     def save(cls, current: DataFrame | None, records: DataFrame, order: list[str] | None = None) -> DataFrame:
         """The collection's rows after saving records, one for each key. Hooks and constraints apply to every write.
 
-        Without a key function new records get the next numbers as id, in the given order.
+        Of several records with one key the last in the given order is saved; without an order they break
+        the constraint `key`. Without a key function new records get the next numbers as id, in that order.
         """
         records = cls.shape(records)
         columns = cls.key_columns(records)
@@ -141,7 +176,13 @@ class Model:
             start = 1 if current is None else (current.agg(F.max("id")).first()[0] or 0) + 1
             records = auto_increment(records, order or list(cls.fields), start, "id")
         names = list(columns) or ["id"]
-        old = None if current is None else current.select(*names, F.struct(*current.columns).alias("_old"))
+        if order:
+            records = fold(records, names, order).select(*records.columns)
+        else:
+            repeated = records.groupBy(*names).count().where("count > 1")
+            if repeated.take(1):
+                raise ConstraintError("key", records.join(repeated.select(*names), names, "left_semi"))
+        old = None if current is None else current.select(*names)
         there = records.limit(0) if old is None else records.join(old, names, "left_semi")
         new = records if old is None else records.join(old, names, "left_anti")
         for f in cls.hooks.get("before_create", ()):
@@ -149,16 +190,10 @@ class Model:
         written = new.unionByName(there, allowMissingColumns=True)
         for f in cls.hooks.get("before_update", ()):
             written = f(written)
-        broken = cls.violations(written)
-        first = broken.select("constraint").limit(1).collect()
-        if first:
-            raise ConstraintError(first[0][0], broken)
-        for role, rows in (("after_create", new), ("after_update", written)):
-            for f in cls.hooks.get(role, ()):
-                f(rows)
-        if cls.hooks.get("after_replace") and old is not None:  # the old values are read only if somebody needs them
-            for f in cls.hooks["after_replace"]:
-                f(written.join(old, names))
+        for broken in (cls.violations(written), cls.broken_references(written)):
+            first = broken.select("constraint").limit(1).collect()
+            if first:
+                raise ConstraintError(first[0][0], broken)
         return written if current is None else current.join(written, names, "left_anti").unionByName(written, allowMissingColumns=True)
 
     @classmethod
@@ -167,10 +202,45 @@ class Model:
         gone = current.join(keys, keys.columns, "left_semi")
         for f in cls.hooks.get("before_delete", ()):
             gone = f(gone)
-        for f in cls.hooks.get("after_delete", ()):
-            f(gone)
         return current.join(gone.select(*keys.columns), keys.columns, "left_anti")
 
+    @classmethod
+    def bind(cls, store, name: str | None = None) -> type[Model]:
+        """Binds the model to a collection of a store; its after_* hooks hear of the collection's changes. None unbinds it."""
+        cls.store, cls.name = store, name or cls.__name__
+        if store is not None:
+            for role in ("after_create", "after_update", "after_replace", "after_delete"):
+                for f in reversed(cls.hooks.get(role, [])):
+                    store.listen(role, f, cls.name)
+        return cls
+
+    @classmethod
+    def rows(cls) -> DataFrame | None:
+        """The bound collection's rows; None before the first write."""
+        if cls.store is None:
+            raise TypeError(f"{cls.__name__} is not bound to a store")
+        return cls.store[cls.name].df if cls.name in cls.store.manifest()["collections"] else None
+
+    @classmethod
+    def bound(cls) -> Collection:
+        rows = cls.rows()
+        return cls.collection(cls.empty(cls.store.spark).withColumn("id", F.lit(0).cast("long")) if rows is None else rows)
+
+    @classmethod
+    def put(cls, records: DataFrame, order: list[str] | None = None) -> None:
+        """Saves records in the bound collection."""
+        current = cls.rows()
+        new = cut(cls.save(current, records, order))
+        cls.store.put(cls.name, new, list(cls.key_columns(new)) or ["id"])
+
+    @classmethod
+    def remove(cls, keys: DataFrame) -> None:
+        """Deletes the records of the given keys from the bound collection."""
+        current = cls.rows()
+        if current is not None:
+            new = cut(cls.delete(current, keys))
+            cls.store.put(cls.name, new, list(cls.key_columns(new)) or ["id"])
+
     @classmethod
     def empty(cls, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], T.StructType([T.StructField(n, f.kind) for n, f in cls.fields.items()]))

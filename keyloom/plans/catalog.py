@@ -245,9 +245,7 @@ def idx_first_per_prefix(spark, d):
 
 @query("select c_mktsegment, list(c_custkey order by c_acctbal, c_custkey) keys from customer group by 1")
 def groupby_index_order(spark, d):
-    rows = customers(spark, d).df
-    pairs = F.array_sort(F.collect_list(F.struct("c_acctbal", "c_custkey")))
-    return rows.groupBy("c_mktsegment").agg(F.transform(pairs, lambda x: x["c_custkey"]).alias("keys"))
+    return _by_segment_cents(spark, d).groups(["c_mktsegment"], "c_custkey")
 
 
 @query("select row_number() over (order by ts, event_id) k, event_id from events")
@@ -322,7 +320,7 @@ def constraint_violations(spark, d):
 
 @query("select user_id, min(ts) first_seen, max(ts) last_seen, count(*) n from events group by 1")
 def first_seen_last_seen(spark, d):
-    return _table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+    return changes.roll_up(_table(spark, d, "events"), ["user_id"], "ts")
 
 
 @query("select min(doc_id) doc_id, text from documents group by text")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from keyloom.plans import catalog
+from keyloom.plans import catalog, mutations  # noqa: F401 (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 

@@ -178,3 +178,170 @@ def test_stream(spark, tmp_path):
         log = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
         upsert_stream(log, s, "t", ["k"], ["seq"], str(tmp_path / "cp"), "gone").awaitTermination()
     assert {(r.k, r.v) for r in s["t"].df.where("NOT deleted").collect()} == {(1, "c")}
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(200)]
+    rings = [(1000, 1001), (1001, 1000), (1002, 1000), (1003, 1003), (1004, 7777), (1005, 1004)]
+    rows = spark.createDataFrame(chain + rings, "id int, parent int")
+    assert {r.node: r.path for r in changes.ancestors(rows, "id", "parent").collect()} == {i: list(range(i + 1)) for i in range(200)}
+    assert changes.ancestors(rows.limit(0), "id", "parent").count() == 0
+
+
+def test_groups_may_span_ranges(spark):
+    rows = spark.createDataFrame([("hot" if i % 10 else None, i, i % 3) for i in range(300)], "k string, seq int, n int")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        reads = {r.seq: r.read for r in changes.counter_reads(rows, "k", ["seq"], 5, "n").collect()}
+        old = {r.seq: r.old for r in changes.with_previous(rows, ["k"], ["seq"], "n").collect()}
+        kinds = {r.seq: r.ev for r in changes.classified(rows, ["k"], ["seq"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for first, members in ((0, range(0, 300, 10)), (1, [i for i in range(300) if i % 10])):
+        total, last = 5, None
+        for i in members:
+            assert (reads[i], old[i], kinds[i]) == (total, last, "create" if i == first else "replace")
+            total, last = total + i % 3, i % 3
+
+
+def test_greedy_batches(spark):
+    rows = spark.createDataFrame([(i, "x" * (i * 7 % 23), i // 40) for i in range(200)], "k int, v string, g int")
+    sizes = {r.k: len(r.j) for r in rows.selectExpr("k", "to_json(struct(k, v, g)) j").collect()}
+    got = batches.greedy_batch_numbers(rows, ["k"], 5, 150, F.col("g")).groupBy("batch").agg(F.sort_array(F.collect_list("k")).alias("ks")).collect()
+    ends = {r.batch >> 40: max(r.ks[-1] for r in got if r.batch >> 40 == of) for of in {r.batch >> 40 for r in got} for r in got if r.batch >> 40 == of}
+    want, held = [], []
+    for k in range(200):
+        if held and (k // 40 != held[-1] // 40 or len(held) == 5 or sum(sizes[x] for x in held) + sizes[k] > 150 or held[-1] in ends.values()):
+            want.append(held)
+            held = []
+        held.append(k)
+    assert sorted(r.ks for r in got) == [*want, held]
+    with pytest.raises(ValueError):
+        batches.greedy_batch_numbers(rows, ["k"])
+
+
+def test_rebatch(spark):
+    rows = spark.range(20).selectExpr("id k", "id * 2 v")
+    held = batches.pack_batches(batches.batch_numbers(rows.where("k between 5 and 9"), ["k"], 3), ["k"])
+    rest = rows.where("k not between 5 and 9")
+    kept = batches.rebatch(held, rest, ["k"], 4)
+    assert sorted((r.lo.k, r.hi.k) for r in kept.collect()) == [(0, 3), (4, 4), (5, 7), (8, 9), (10, 13), (14, 17), (18, 19)]
+    assert kept.select("batch").distinct().count() == 7
+    anew = batches.rebatch(held, rest, ["k"], 4, preserve=False)
+    assert sorted((r.lo.k, r.hi.k) for r in anew.collect()) == [(0, 3), (4, 7), (8, 11), (12, 15), (16, 19)]
+    assert sorted(map(tuple, batches.expand(anew).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_uuid_keys(spark):
+    import uuid
+
+    ids = [str(uuid.UUID(int=i << 96)) for i in (1, 5, 9)]
+    c = Collection(spark.createDataFrame([(x,) for x in ids], "id string"), "id", uuids=("id",))
+    assert [r.id for r in c.keys(lo=uuid.UUID(int=5 << 96)).collect()] == ids[1:]
+    assert c.has(uuid.UUID(int=9 << 96)) and c.keys(lo="zzz").count() == 3 and c.keys(hi="zzz").count() == 0  # texts come before
+
+
+def test_save_refuses_repeated_keys(spark):
+    class Pair(model.Model):
+        k = model.Integer()
+        v = model.String()
+
+        @model.key
+        def by_k():
+            return {"k": F.col("k")}
+
+    rows = spark.createDataFrame([(1, "x"), (1, "y")], "k long, v string")
+    with pytest.raises(model.ConstraintError) as e:
+        Pair.save(None, rows)
+    assert str(e.value) == "key" and e.value.violators.count() == 2
+    assert [tuple(r) for r in Pair.save(None, rows, ["v"]).collect()] == [(1, "y")]
+    with pytest.raises(TypeError):
+        Pair.rows()
+    with pytest.raises(TypeError):
+        type("Other", (Post,), {"by_name": model.index(lambda: {"name": F.col("text")})})
+
+
+def test_references_and_hooks(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    heard = []
+
+    class Line(model.Model):
+        k = model.Integer()
+        parent = model.Integer()
+
+        @model.key
+        def by_k():
+            return {"k": F.col("k")}
+
+        @model.index
+        def by_parent():
+            return {"parent": F.col("parent")}
+
+        @model.reference
+        def above():
+            return ["parent"], spark.createDataFrame([(7,)], "parent long")
+
+        @model.after_replace
+        def hear(rows):
+            heard.append([(r.k, r.old.parent, r.parent) for r in rows.collect()])
+            return False  # once only
+
+    assert callable(Line.by_parent)
+    Line.bind(s)
+    Line.put(spark.createDataFrame([(1, 7), (2, None)], "k long, parent long"))
+    Line.put(spark.createDataFrame([(2, 7)], "k long, parent long"))
+    Line.put(spark.createDataFrame([(1, None)], "k long, parent long"))
+    assert heard == [[(2, None, 7)]] or heard == [[]]
+    assert [r.k for r in Line.by_parent.keys(key=7).collect()] == [2]
+    with pytest.raises(model.ConstraintError) as e:
+        Line.put(spark.createDataFrame([(3, 8)], "k long, parent long"))
+    assert str(e.value) == "above" and Line.rows().count() == 2
+    Line.remove(spark.createDataFrame([(1,)], "k long"))
+    assert [r.k for r in Line.rows().collect()] == [2]
+
+
+def test_store_events_meta_and_cleaning(spark, tmp_path):
+    s, heard = store.Store(spark, str(tmp_path / "s")), []
+    s.listen("on_commit", lambda: heard.append("older"))
+    s.listen("on_commit", lambda: heard.append("newer"))
+    for event in ("after_commit", "after_abort"):
+        s.listen(event, lambda event=event: heard.append(event))
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    s.put("t", df, ["k"])
+    assert heard == ["newer", "older", "after_commit"]
+    s.listen("on_commit", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        s.put("t", df.limit(0), ["k"])
+    assert heard[-1] == "after_abort" and s["t"].df.count() == 2
+    s.listeners.clear()
+    with pytest.raises(errors.ConfigError):
+        s.listen("on_commit", print, "t")
+    s.set_meta("collection", "t", "note", {"x": 1})
+    number = s.add_codec("MINE", lambda c: c, lambda c: c)
+    again = store.Store(spark, s.path)
+    assert again.get_meta("collection", "t", "note") == {"x": 1} and again.codecs.numbers["MINE"] == number == again.add_codec("MINE", lambda c: c, lambda c: c)
+    s.set_meta("collection", "t", "note", None)
+    assert s.get_meta("collection", "t", "note", 5) == 5
+    s.put("t", df.limit(0), ["k"])
+    s.put("t", df, ["k"])
+    assert s.clean(keep=1) > 0 and store.Store(spark, s.path)["t"].df.count() == 2
+    with s.begin(write=True):
+        assert s.count("n") == 1 and s.count("n") == 2
+
+
+def test_merge_leaves_other_files_alone(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.put("t", spark.range(1000).selectExpr("id k", "1 seq", "'old' v"), ["k"], 8)
+    before = set(s.manifest()["collections"]["t"]["files"])
+    s.merge("t", spark.createDataFrame([(3, 2, "new"), (3, 0, "late"), (2000, 1, "new")], "k long, seq int, v string"), ["k"], ["seq"])
+    assert len(before & set(s.manifest()["collections"]["t"]["files"])) == 7
+    assert {r.k for r in s["t"].df.where("v = 'new'").collect()} == {3, 2000} and s["t"].df.count() == 1001
+
+
+def test_forgetting_deletes(spark, tmp_path):
+    from keyloom.streaming.upserts import forget
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.put("t", spark.createDataFrame([(1, 1, True), (2, 9, True), (3, 1, False)], "k int, seq int, deleted boolean"), ["k"])
+    forget(s, "t", F.col("seq") < 5)
+    assert sorted(r.k for r in s["t"].df.collect()) == [2, 3]
