@@ -39,6 +39,8 @@ from . import common
 
 #: Documents with lines to delete that are sent to all tasks at most; more are joined by a shuffle.
 KEYS = 200_000
+#: Repeated lines whose hashes are sent to all tasks at most, some 50 MB; more are joined by a shuffle.
+LINES = 1_000_000
 #: Bits of a rank for the place in its range.
 PLACE_BITS = 40
 
@@ -67,8 +69,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines that occur more than once, in runs with enough words: with seg, which of its document's runs it is in."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    rows = lines.join(repeated, ["h1", "h2"])
+    repeated = common.stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "line-repeated")
+    rows = lines.join(common.small(repeated, LINES), ["h1", "h2"], "left_semi")
     rows = rows.withColumn("seg", F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i")))
     return rows.withColumn("_sum", F.sum("words").over(Window.partitionBy("row", "seg"))).where(F.col("_sum") >= min_words).drop("_sum")
 
