@@ -1,5 +1,6 @@
-"""python -m keyloom info URL: what a store holds."""
+"""python -m keyloom info URL: what a store holds. python -m keyloom shell URL: a Python prompt with it as `store`."""
 
+import code
 import sys
 
 from pyspark.sql import SparkSession
@@ -7,6 +8,11 @@ from pyspark.sql import SparkSession
 from .sources.store import open_store
 
 if __name__ == "__main__":
-    if len(sys.argv) != 3 or sys.argv[1] != "info":
+    if len(sys.argv) != 3 or sys.argv[1] not in ("info", "shell"):
         sys.exit(__doc__)
-    open_store(SparkSession.builder.getOrCreate(), sys.argv[2]).info().show(1000, truncate=False)
+    spark = SparkSession.builder.getOrCreate()
+    store = open_store(spark, sys.argv[2])
+    if sys.argv[1] == "info":
+        store.info().show(1000, truncate=False)
+    else:
+        code.interact(local={"spark": spark, "store": store})
