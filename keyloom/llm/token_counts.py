@@ -7,7 +7,8 @@ merge's result only takes part in pairs of higher rank, so that merging all plac
 together gives what one merge at a time gives.
 
 Null and empty texts have no tokens. The vocabulary's own end string inside a text is one token,
-as the library has it by default. Texts of any length are counted whole.
+as the library has it by default. Texts of any length are counted whole. Null ids and repeated rows
+are counted each like any other. Columns n_bytes, n_tokens and over_limit of docs are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ from .pieces import END, PRETOKEN, Pieces, batches
 NONE = np.iinfo(np.int64).max
 
 
+def byte_letters() -> list[str]:
+    """Printable stand-ins of bytes in byte-level vocabularies: Latin-1's printable bytes are themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in plain]
+    return [chr(b if b in plain else 256 + odd.index(b)) for b in range(256)]
+
+
 class Merges:
     """A vocabulary's merges: keys of pairs in order, with the rank and the resulting symbol."""
 
@@ -40,12 +48,7 @@ class Merges:
         keys = left * self.size + right
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
-        #: Printable stand-ins of byte-level vocabularies: Latin-1's printable bytes are themselves, the rest follow from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        odd = [b for b in range(256) if b not in plain]
-        self.byte = np.zeros(256, np.int64)
-        for b in range(256):
-            self.byte[b] = vocab[chr(b if b in plain else 256 + odd.index(b))]
+        self.byte = np.array([vocab[x] for x in byte_letters()], np.int64)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if not a known pair) and result of pairs."""

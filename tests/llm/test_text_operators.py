@@ -61,6 +61,14 @@ def test_packing_gives_back_all_ids(docs, tokenizer):
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_notices_other_ids():
+    encoder = packing.Encoder(VOCABULARY)
+    assert encoder.ids(["a b"]) == [np.array([64, 275], np.uint32).tobytes()]
+    encoder.encode_single = lambda text: [1] * len(text.encode())
+    with pytest.raises(ValueError):
+        encoder.ids(["x y"])
+
+
 def test_packing_takes_a_partition_together(spark):
     rows = spark.range(300_000).coalesce(1).selectExpr("id doc_id", "IF(id % 2 = 0, repeat(' word', 40), 'a b') text", "id sequence_id")
     packed = packing.pack(rows, VOCABULARY, window=64).toPandas()
