@@ -7,7 +7,11 @@ so filters of the same block merge without loss, by their sorted remainders. Fin
 merged count is above one route their documents to byte verification, which groups by the
 normalised text itself; equal fingerprints of different texts part there.
 
-Null and empty texts count as the empty text. Every run of white space (space, tab to carriage
+Only documents whose fingerprint repeats are read again and shuffled, as long as the repeated
+fingerprints are few enough to be sent to all tasks; beyond, a shuffle finds them.
+
+Null and empty texts count as the empty text; a text may have any length. Only the id and the text of
+docs are read, so that its other columns may have any names. Every run of white space (space, tab to carriage
 return) counts as one space. Of rows with equal texts, the one with the smallest id stays; should
 several rows carry that id, all of them do. A null id is larger than any other: such a row stays
 only where its text has no row with an id.
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Repeated fingerprints that are sent to all tasks at most, some 100 MB; of groups, which are larger, a tenth.
+KEYS = 2_000_000
 REMAINDER_BITS = 40
 REMAINDER = np.uint64((1 << REMAINDER_BITS) - 1)
 
@@ -104,10 +110,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     whole = whole.withColumn("fp", F.xxhash64("whole"))
     slim = common.stored(whole.select("doc_id", "fp", F.sha2("whole", 256).alias("text_sha256")), "exact-dedup")
     repeated = common.cut(repeated_fingerprints(slim.select("fp")))
-    copies = whole.join(repeated.select("fp"), "fp", "left_semi")
+    copies = whole.join(common.small(repeated.select("fp"), KEYS), "fp", "left_semi")
     groups = copies.groupBy("whole").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = common.cut(groups.select(F.sha2("whole", 256).alias("text_sha256"), "keep_id", "group_size"))
-    found = slim.join(groups, "text_sha256", "left")
+    found = slim.join(common.small(groups, KEYS // 10), "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
