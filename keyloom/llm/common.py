@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, if they are one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="keyloom-"))
     return sc.getCheckpointDir()
 
 
@@ -30,14 +33,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of the tables that this process has stored, oldest first.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and rereads it; survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, start: int = 0, keep: int = 0) -> None:
+    """Deletes the tables stored from the start-th on, but the newest ones to keep; nothing that still needs them may be read later."""
+    jvm = spark._jvm
+    for path in _written[start : len(_written) - keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def count_stored() -> int:
+    return len(_written)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df with a hint to send it to all tasks, if it has at most so many rows; else as it is, for a join by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

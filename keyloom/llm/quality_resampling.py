@@ -9,9 +9,10 @@ hash of the id and a seed, so a repeated task draws alike.
 The raw model counts every document. The target model may use a bounded number of labelled
 documents (max_labels); which ones is decided by a hash of the id.
 
-Null and empty texts have weight one (logarithm zero). Null ids have noise like any other. Ties
-at the k-th place fall to the smaller id; rows that agree in it too are kept together or not at
-all, so that slightly more than k may stay.
+Null and empty texts have weight one (logarithm zero); a text may have any length. Null ids have noise
+like any other. Rows with equal ids draw the same noise. Rows that tie at the k-th place all stay, so that
+a few more than k may. Only the id and the text of docs are read, so that its other columns may have
+any names; without labels all documents stay.
 """
 
 from __future__ import annotations

@@ -9,8 +9,11 @@ labels train a linear classifier over presence of words and beginnings, which sc
 
 Voters, model and classifier are fitted on at most max_labels labelled rows (chosen by a hash of
 the id); every row is scored on its whole text. Neither labels, language, source nor id enter a
-score. Null and empty texts get the classifier's score of a text without features. Without
-labelled rows of both classes every score is the known share of toxic rows, or zero.
+score. Null and empty texts get the classifier's score of a text without features; a text may
+have any length. Null ids are scored like any other and never learnt from; of an id that is labelled
+twice the higher label counts, and rows with equal ids are learnt from and scored each. A column score of
+docs is replaced; other names do no harm. Without labelled rows of both classes every score is close
+to the class that is known, or to zero.
 """
 
 from __future__ import annotations

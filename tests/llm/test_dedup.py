@@ -195,6 +195,18 @@ def test_near_copies_are_verified_on_links(spark):
     assert [r.doc_id for r in simhash_dedup.near_copies(rows).orderBy("doc_id").collect()] == [3, 5, 6, 7, 9]
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_similar_within_a_bucket_by_blocks(spark, block):
+    r = np.random.default_rng(3)
+    base = [r.integers(0, 2**63, 40).astype(np.uint64) for _ in range(5)]
+    sets = [np.sort(np.r_[base[i % 5][: 40 - i % 3], r.integers(0, 2**63, i % 3).astype(np.uint64)]) for i in range(30)]
+    rows = [(1, 30, bytes([i]), bytes([i]), x.tobytes()) for i, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, n long, node binary, label binary, hashes binary")
+    links = simhash_dedup._similar_within(members, 0.8, block)
+    roots = {bytes(x.node): bytes(x.root) for x in graph.components(links).collect()}
+    assert [roots[bytes([i])] for i in range(30)] == [bytes([i % 5]) for i in range(30)]
+
+
 def test_near_copies_beside_an_unlike_first(spark):
     r = random.Random(1)
     while True:  # fingerprints within the radius, texts less than 0.8 similar

@@ -172,6 +172,30 @@ def test_training_follows_the_gradient():
     assert after > before + 50
 
 
+def test_label_model_recovers_the_truth():
+    """Voters of known accuracy, some of which repeat each other: posteriors rank the truth and beat the vote."""
+    r = np.random.default_rng(6)
+    truth = r.random(4000) < 0.2
+    speak = [np.where(truth, r.random(4000) < hit, r.random(4000) < miss) for hit, miss in ((0.6, 0.01), (0.5, 0.03), (0.4, 0.1), (0.3, 0.02))]
+    copies = [speak[2] & (r.random(4000) < 0.97) for _ in range(3)]
+    fixed = [r.random(4000) < 0.1 for _ in range(len(toxicity.PATTERNS))]
+    votes = np.stack([*speak, *copies, *fixed], axis=1)
+    got = toxicity.label_model(votes, truth.mean())
+    auc = lambda score: np.mean([np.mean((score[truth] > x) + 0.5 * (score[truth] == x)) for x in score[~truth][:400]])
+    assert auc(got) > auc(votes[:, : -len(fixed)].sum(1).astype(float)) > 0.5 and abs(got.mean() - truth.mean()) < 0.15
+    alone = [got[(votes[:, :4].sum(1) == 1) & votes[:, k]].mean() for k in (0, 2)]
+    assert alone[0] > alone[1]  # the more accurate voter counts for more
+
+
+def test_logistic_regression_against_plain_gradients():
+    r = np.random.default_rng(1)
+    x, y = r.random((200, 5)) < 0.4, r.random(200)
+    w = toxicity.fit_linear(x, y, 0.5)
+    p = 1 / (1 + np.exp(-(np.c_[x, np.ones(200)] @ w)))
+    for k in range(5):
+        assert abs(sum((p[i] - y[i]) * x[i, k] for i in range(200)) + 0.5 * w[k]) < 1e-6
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(2)
     words = [f"{a}{b}" for a in ("lorem", "ipsu", "dolo", "ame") for b in ("", "ra", "ti", "mon", "lex", "qui")]
@@ -214,6 +238,31 @@ def test_quality_keeps_the_target(spark):
     assert quality_resampling.resample(docs, labels.limit(0)).count() == 804
 
 
+def test_quality_weights_and_draw_by_brute_force(spark):
+    r = random.Random(14)
+    rows = [(i, " ".join(r.choice(["Plain", "words,", "of", "prose!"]) for _ in range(r.randint(0, 30)))) for i in range(200)] + [(None, "of prose"), (7, "prose"), (300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 100)], "doc_id long, quality int")
+    whole = quality_resampling.resample(docs, labels, buckets=64, share=1.0).collect()
+    raw, target = collections.Counter(), collections.Counter()
+    grams = []
+    for i, t in rows:
+        words = re.findall(r"\w+|[^\w\s]+", t or "")
+        h = [zlib.crc32(w.encode()) for w in words]
+        own = [x % 64 for x in h] + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 32) % 64 for a, b in zip(h, h[1:])]
+        grams.append(own)
+        raw.update(own)
+        if i is not None and i < 100 and i % 3 == 0:
+            target.update(own)
+    ratio = [math.log((target[b] + 1) / (target.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64)) for b in range(64)]
+    want = sorted((-1 if i is None else i, round(sum(ratio[b] for b in g), 9)) for (i, _), g in zip(rows, grams, strict=True))
+    assert sorted((-1 if x.doc_id is None else x.doc_id, round(x.log_weight, 9)) for x in whole) == want
+    noise = [x.key - x.log_weight for x in whole]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.3 and len({round(x, 9) for x in noise}) == len(rows) - 1  # of equal ids it is equal
+    drawn = quality_resampling.resample(docs, labels, buckets=64, share=0.25).collect()
+    assert sorted(x.key for x in drawn) == sorted((x.key for x in whole), reverse=True)[: math.ceil(0.25 * len(rows))][::-1]
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 1000])
 def test_kth_largest(spark, k):
     r = random.Random(k)
@@ -264,26 +313,75 @@ def test_decontamination(spark):
     assert decontamination.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def brute_near_copies(rows):
+    """Ids that similar pairs (sets of five words, 0.8 or more) connect with a smaller id, over all pairs."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if a == b or both and both / (len(a) + len(b) - both) >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d for i, (d, _) in enumerate(rows) if least[find(i)] != d}
+
+
 def test_pipeline(spark):
+    """Every stage of the pipeline against brute force, on what the stage before it kept."""
+    from .test_dedup import brute_runs
+
     data = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{data}/documents.parquet")
-    docs = documents
+    docs, held = documents, {}
     names = [n for n, _ in corpus_pipeline.STAGES]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, data)
         assert after.columns == documents.columns
-        docs = corpus_pipeline.common.stored(after, f"test-{name}")
-        assert 0 < docs.count() <= documents.count()
+        before, docs = docs, corpus_pipeline.common.stored(after, f"test-{name}")
+        held[name] = [sorted((r.doc_id, r.text) for r in x.collect()) for x in (before, docs)]
     assert names == ["quality", "lines", "near-copies", "benchmark", "packing"]
+    chosen = {r.doc_id for r in quality_resampling.resample(documents, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    assert held["quality"][1] == [r for r in held["quality"][0] if r[0] in chosen] and len(chosen) < documents.count()
+    before, after = held["lines"]
+    want = []
+    for (i, t), gone in zip(before, brute_runs([t or "" for _, t in before], 25), strict=True):
+        left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+        want += [(i, left)] if not gone or left.split() else []
+    assert after == want and after != before
+    before, after = held["near-copies"]
+    gone = brute_near_copies(before)
+    assert after == [r for r in before if r[0] not in gone]
+    before, after = held["benchmark"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in brute_contaminated(before, items, 0.8)}
+    assert after == [r for r in before if r[0] not in leaks]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data).toPandas()
-    assert set(packed.doc_id) == {r.doc_id for r in docs.collect()}
+    assert set(packed.doc_id) == {d for d, _ in after} and len(after) > 0
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
-    assert brute_contaminated([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()], 0.8) == {}
 
 
-def test_decontamination_of_a_very_long_item(spark):
-    long = "same " * 40_000
-    docs = spark.createDataFrame([(1, long), (2, long + "end"), (3, "same " * 100), (None, long)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, long), (2, None)], "item_id long, text string")
-    got = decontamination.contaminated(docs, items).collect()
-    assert {(r.doc_id, r.item_id, r.start, r.n_words, r.distance, r.similarity) for r in got} == {(i, 1, 0, 40_000, 0, 1.0) for i in (1, 2, None)}
+def test_a_run_leaves_its_last_table_only(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", lambda s, docs, d: corpus_pipeline.common.stored(docs, "own")), ("b", lambda s, docs, d: docs.limit(3))])
+    start = corpus_pipeline.common.count_stored()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 3
+    assert corpus_pipeline.common.count_stored() == start + 1
+
+
+def test_line_stage_without_n_chars(spark):
+    from keyloom.llm import line_dedup
+
+    lines = "\n".join(["a line of seven words, no more"] * 2 + ["and another one of eight words, not less"] * 2)
+    docs = spark.createDataFrame([(1, lines), (2, lines), (3, None), (4, "own words")], "doc_id long, text string")
+    out = line_dedup.line_stage(spark, docs, "")
+    assert out.columns == ["doc_id", "text"] and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
