@@ -17,8 +17,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written as Parquet and reread."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Applies STAGES to documents; each result is written as Parquet and reread, and what a stage stored on its way is deleted."""
+    docs, start = common.table(spark, sf_dir, "documents"), common.count_stored()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name)
+        common.discard(spark, start, keep=1)
     return docs
