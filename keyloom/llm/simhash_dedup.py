@@ -11,8 +11,10 @@ linked members, never all pairs. A bucket with more than BUCKET fingerprints is
 under a second family of masks, crossed with the first; what is left there agrees on about three
 quarters of the bits, which bounds how many distinct fingerprints there can be.
 
-Null and empty texts have no words; their fingerprint is zero, and they link like any other.
-Rows with equal ids are one node each by their fingerprints.
+Null and empty texts have no words; their fingerprint is zero, and they link like any other. A text
+may have any length. Rows with equal ids are one node each by their fingerprints; null ids are rows like
+any other, and the smallest id of a component is null only if all are. The pipeline's stage keeps
+rows with null ids. Only the id and the text of docs are read, so that its other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SEED = 42
 BUCKET = 4096
 #: Bands of least shingles and values in each: a pair of similarity J shares a bucket with probability 1 - (1 - J ** ROWS) ** BANDS, 0.998 at 0.8.
 BANDS, ROWS = 16, 5
+#: Members of a bucket that are compared in one task, or twice as many.
+BLOCK = 1000
 
 
 def _shingles(text: str, shingle: int) -> tuple[bytes, np.ndarray]:
@@ -101,7 +105,8 @@ def _linked(rows: DataFrame, keys: list[str], radius: int, most: int | None) ->
     """Links (a, b) among the rows of each key; of buckets above most, a and the key's first part with b null."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.zeros((len(keys) + 1, 0), np.int64)
+        held: list[np.ndarray] = []  # columns of the bucket that is open, and of whole ones before it
+        over = None  # the open bucket's key, once it has more than most
 
         def out(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = (block[:-1, 1:] != block[:-1, :-1]).any(0)
@@ -119,15 +124,32 @@ def _linked(rows: DataFrame, keys: list[str], radius: int, most: int | None) ->
                 a, b, v = map(np.concatenate, (a, b, v))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=v >= 0), pa.array(v, mask=v < 0)], ["a", "b", "v"])
 
+        def passed(block: np.ndarray) -> pa.RecordBatch:
+            n = block.shape[1]
+            return pa.RecordBatch.from_arrays([pa.array(block[-1]), pa.nulls(n, pa.int64()), pa.array(block[0])], ["a", "b", "v"])
+
         for part in parts:
-            block = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns])], axis=1)
+            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns])
+            if not block.shape[1]:
+                continue
+            if over is not None:  # the rest of a bucket that is dealt out again is not held
+                same = (block[:-1] == over).all(0)
+                yield passed(block[:, same])
+                if same.all():
+                    continue
+                block, over = block[:, ~same], None
             open_at = np.flatnonzero((block[:-1] != block[:-1, -1:]).any(0))
             cut = open_at[-1] + 1 if len(open_at) else 0
-            if cut:
-                yield from out(block[:, :cut])
-            held = block[:, cut:]
-        if held.shape[1]:
-            yield from out(held)
+            if cut or held and (held[-1][:-1, -1] != block[:-1, 0]).any():
+                yield from out(np.concatenate([*held, block[:, :cut]], axis=1))
+                held = []
+            held.append(block[:, cut:])
+            if most and sum(x.shape[1] for x in held) > most:
+                whole = np.concatenate(held, axis=1)
+                over, held = whole[:-1, :1], []
+                yield passed(whole)
+        if held:
+            yield from out(np.concatenate(held, axis=1))
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select(*keys, "fp").repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long, v long")
@@ -242,15 +264,21 @@ def joined_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -
     return out
 
 
-def _similar_within(members: DataFrame, similarity: float) -> DataFrame:
-    """members: key, node, label, hashes. Links a, b that connect what is similar within each key."""
+def _similar_within(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """members: key, n (how many the key has), node, label, hashes. Links a, b that connect what is similar within each key.
+
+    A key's members are dealt into blocks; a task compares those of one block or of two, so that it holds twice block of them or so.
+    """
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].tolist()
         found = joined_sets([np.frombuffer(x, np.uint64) for x in group["hashes"]], group["label"].to_numpy(), similarity)
         return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=object)
 
-    return members.groupBy("key").applyInPandas(task, "a binary, b binary")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    both = dealt.select("key", "node", "label", "hashes", "_own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    return both.groupBy("key", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b")).applyInPandas(task, "a binary, b binary")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,7 +287,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity:
     Equal texts are one node. Candidates are the nodes of one bucket: a component of fingerprints
     within the radius, or a band of least shingles. Within a bucket every pair is compared that
     others have not connected: first all with one member, then, in the buckets that this left
-    in parts, each member with all others in one task, which yields links, never all pairs.
+    in parts, block by block, which yields links, never all pairs.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), common.text_of(text).alias("text"))
     slim = common.stored(_sketches(rows, shingle), "near-sketches")
@@ -276,7 +304,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity:
     pairs = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     similar = common.stored(_similar(pairs, sets, similarity), "near-links")
     roots = graph.components(similar)
-    labelled = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    labelled = members.where("n > 2").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("label"))
     labelled = common.stored(labelled, "near-labels")
     parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     more = _similar_within(labelled.join(parted, "key").join(sets, "node"), similarity)
