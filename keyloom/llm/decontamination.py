@@ -13,8 +13,8 @@ them.
 Everything runs as DataFrame expressions. Words are lower-cased and split at white space; an item
 of fewer than five words is one shingle. Shingles are compared by 64-bit hashes, within one pair of a window and an item. Texts and items may be as long as Spark's strings. Null and
 empty texts and items match nothing; null ids are ids like any other; rows with equal ids are searched
-each. A document with several windows that match an item gives the most similar one, the first of
-those. Only the id and the text of docs are read, so that its other columns may have any names.
+each, and items with equal ids are looked for each. A document with several windows that match an item gives the most similar one, the first of
+those. Only the id and the text of docs and items are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -100,8 +100,8 @@ def _places(hits: DataFrame, similarity: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start (of the window, in words), n_words, distance and similarity of each document and item that match."""
     whole = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item_words")).where(F.size("item_words") > 0)
-    whole = whole.withColumn("size", F.least(F.size("item_words"), F.lit(shingle)))
-    items = common.cut(whole.select("item_id", "size", _shingles("item_words", "size", shingle).alias("hashes"), F.size("item_words").alias("length")))
+    whole = whole.withColumns({"item": F.monotonically_increasing_id(), "size": F.least(F.size("item_words"), F.lit(shingle))})
+    items = common.cut(whole.select("item", "item_id", "size", _shingles("item_words", "size", shingle).alias("hashes"), F.size("item_words").alias("length")))
     if not items.take(1):
         kinds = {c: docs.schema[doc_id].dataType.simpleString() if c == "doc_id" else items.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start int, n_words int, distance int, similarity double")
@@ -120,20 +120,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     different = windows.groupBy("content").agg(F.first("length").alias("length"), F.first("size").alias("size"), F.first("window").alias("window"))
     shingles = different.select("content", "length", "size", F.split("window", " ").alias("words")).select("content", "length", F.explode(_shingles("words", "size", shingle)).alias("h"))
     shingles = common.stored(shingles, "decontamination-shingles")
-    item_shingles = items.select("item_id", F.explode("hashes").alias("h"))
+    item_shingles = items.select("item", F.explode("hashes").alias("h"))
     fps = _fingerprints(shingles, ["content", "length"])
-    item_fps = _fingerprints(item_shingles, ["item_id"]).join(items.select("item_id", "length"), "item_id")
+    item_fps = _fingerprints(item_shingles, ["item"]).join(items.select("item", "length"), "item")
     left = fps.select("content", "length", "fp", _blocks("fp", [0]).alias("x")).select("content", "length", "fp", "x.*")
-    right = item_fps.select("item_id", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item_id", "length", "item_fp", "x.*")
-    pairs = left.join(common.small(right, BROADCAST), ["length", "block", "value"]).select("content", "item_id", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+    right = item_fps.select("item", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item", "length", "item_fp", "x.*")
+    pairs = left.join(common.small(right, BROADCAST), ["length", "block", "value"]).select("content", "item", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
     pairs = common.stored(pairs, "decontamination-pairs")
 
     # exact similarity of the candidates: the weights of their own windows and items only
     weights = shingles.join(common.small(pairs.select("content").distinct(), KEYS), "content", "left_semi").groupBy("content", "h").agg(F.count("*").alias("w"))
-    item_weights = item_shingles.groupBy("item_id", "h").agg(F.count("*").alias("iw"))
-    both = pairs.join(weights, "content").join(common.small(item_weights, BROADCAST), ["item_id", "h"]).groupBy("content", "item_id", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
+    item_weights = item_shingles.groupBy("item", "h").agg(F.count("*").alias("iw"))
+    both = pairs.join(weights, "content").join(common.small(item_weights, BROADCAST), ["item", "h"]).groupBy("content", "item", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
     n = F.col("length") - F.col("size") + 1
-    of_pair = both.join(items.select("item_id", "size"), "item_id")
+    of_pair = both.join(items.select("item", "item_id", "size"), "item")
     alike = of_pair.withColumn("similarity", F.col("both") / (2 * n - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)
     alike = common.cut(alike.select("content", "item_id", "distance", "similarity"))
     matches = windows.select("rid", "length", "start", "content").join(alike, "content")
