@@ -57,8 +57,8 @@ class Collection:
         return self.items(raw, key=key)
 
     def get_many(self, keys: DataFrame) -> DataFrame:
-        """Records of all given keys (rows of the key columns) in one join; missing keys give none."""
-        return keys.select(*self.key).distinct().join(self.df, self.key)
+        """Records of all given keys (rows of the key columns) in one join; missing keys give none, repeated ones one record."""
+        return self.df.join(keys.select(*self.key), self.key, "left_semi")
 
     def has(self, key) -> bool:
         return bool(self.df.where(self.spec.exactly(key)).take(1))
