@@ -195,18 +195,26 @@ def believed(found: list[Block], doubts: dict[int, int], spread: float) -> set[i
     """The doubtful elements that are not the article."""
     content = content_paths(path_ratios(found), spread)
     whole = sum(len(x.text) for x in found if x.path in content)
+    inside: dict[int, list[Block]] = {}
+    for x in found:
+        for element in x.doubts:
+            inside.setdefault(element, []).append(x)
+    in_content = lambda x: any(t in CONTENT for _, t in x.chain)
+    in_paragraph = lambda x: bool(x.chain) and x.chain[-1][1] == "p"
+    articles, paragraphs, gone = sum(map(in_content, found)), sum(map(in_paragraph, found)), set()
     out: set[int] = set()
     for element, doubt in doubts.items():  # from the outside in
-        own = [x for x in found if element in x.doubts]
-        if not own or any(n in out for n in own[0].doubts if n != element):
+        own = [x for x in inside.get(element, ()) if id(x) not in gone]
+        if not own:
             continue
-        others = [x for x in found if element not in x.doubts and not out.intersection(x.doubts)]
-        tags = next(([t for _, t in x.chain[: [n for n, _ in x.chain].index(element)]] for x in own), [])
-        beside = not CONTENT.intersection(tags) and any(t in CONTENT for x in others for _, t in x.chain)
+        above = [t for n, t in own[0].chain if n < element]
+        own_articles, own_paragraphs = sum(map(in_content, own)), sum(map(in_paragraph, own))
+        beside = not CONTENT.intersection(above) and articles > own_articles
         most = sum(len(x.text) for x in own if x.path in content) >= 0.5 * max(1, whole)
-        paragraphs = any(x.chain and x.chain[-1][1] == "p" for x in others)
-        if beside or not most or doubt == PLAIN and paragraphs:
+        if beside or not most or doubt == PLAIN and paragraphs > own_paragraphs:
             out.add(element)
+            gone.update(map(id, own))
+            articles, paragraphs = articles - own_articles, paragraphs - own_paragraphs
     return out
 
 
