@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space of the operators' contracts: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,6 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the system: idle workers stay beside the executor for a while, also in stages without Python."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """A function of an iterator's batches that releases memory at its end."""
+
+    @wraps(task)
+    def run(parts: Iterator) -> Iterator:
+        yield from task(parts)
+        release()
+
+    return run
+
+
 #: Paths of the tables that this process has stored, oldest first.
 _written: list[str] = []
 
@@ -59,6 +84,11 @@ def count_stored() -> int:
     return len(_written)
 
 
+def frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A few rows as a DataFrame, by way of Arrow: plain lists would start Python workers of another kind, which stay in the executors' memory."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)))
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df with a hint to send it to all tasks, if it has at most so many rows; else as it is, for a join by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

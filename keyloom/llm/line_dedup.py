@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
@@ -64,7 +65,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             i = np.arange(len(words)) - np.repeat(upto - sizes, sizes)
             yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(i, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(words, pa.int32())], schema.names)
 
-    return docs.select("id", "row", "text").mapInArrow(task, schema)
+    return docs.select("id", "row", "text").mapInArrow(common.lean(task), schema)
 
 
 def _candidates(lines: DataFrame, min_words: int) -> DataFrame:
@@ -96,17 +97,17 @@ def _ranked(rows: DataFrame, a: str, b: str) -> DataFrame:
                 last, start, before = (x[-1], y[-1]), int(tie[-1]), before + len(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), own)), pa.array(tie)], schema.names)
 
-    found = common.stored(_by_range(rows, a, b).mapInArrow(task, schema), "line-ranks")
+    found = common.stored(_by_range(rows, a, b).mapInArrow(common.lean(task), schema), "line-ranks")
     key = F.struct(a, b)
     ends = found.groupBy("part").agg(F.min_by(key, "tie").alias("low"), F.max_by(key, "tie").alias("high"), F.max("tie").alias("tie")).orderBy("part").collect()
-    carried, last, rank = [(-1, 0)], None, 0  # one row for each range whose first tie began in an earlier one
+    carried, last, rank = [], None, 0  # one row for each range whose first tie began in an earlier one
     for r in ends:
         if r["low"] == last:
-            carried.append((r["part"], rank))
+            carried.append({"part": r["part"], "tied": rank})
         if not (r["low"] == last and r["tie"] == 0):
             rank = (r["part"] << PLACE_BITS) + r["tie"]
         last = r["high"]
-    carry = rows.sparkSession.createDataFrame(carried, "part long, tied long")
+    carry = common.frame(rows.sparkSession, carried, T.StructType([T.StructField("part", T.LongType()), T.StructField("tied", T.LongType())]))
     out = found.join(F.broadcast(carry), "part", "left")
     own = F.shiftleft("part", PLACE_BITS) + F.col("tie")
     return out.withColumn("r", F.when(F.col("tie") == 0, F.coalesce("tied", own)).otherwise(own)).select(*rows.columns, "r")
@@ -191,8 +192,6 @@ def longest_earlier_matches(suffixes: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([*kept.fields, *[T.StructField(c, t) for c, t in ends]])
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         arrow, part = to_arrow_schema(schema), TaskContext.get().partitionId()
         batches = [x for x in parts if x.num_rows]  # one range of the sorted suffixes
         if not batches:
@@ -223,9 +222,8 @@ def longest_earlier_matches(suffixes: DataFrame, width: int) -> DataFrame:
         ids = [[x for x in v.tolist() if x >= 0] for v in (first, last)]
         yield pa.RecordBatch.from_pylist([{"part": part, "low": structs[0], "high": structs[1], "first": ids[0], "last": ids[1], "through": int(left[-1])}], schema=arrow)
 
-    found = common.stored(_by_range(suffixes, "r").mapInArrow(task, schema), "line-matches")
+    found = common.stored(_by_range(suffixes, "r").mapInArrow(common.lean(task), schema), "line-matches")
     ranges = found.where("through IS NOT NULL").select("part", *[c for c, _ in ends]).orderBy("part").collect()  # one row for each range
-    spark = suffixes.sparkSession
     padded = [[np.array([[*r[c], *[-1] * (width - len(r[c]))]]) for c in ("first", "last")] for r in ranges]
     meet = [int(common_prefix(a[1], b[0])[0]) for a, b in zip(padded, padded[1:])]  # between each range and the next
     lists = [[[_marked(p) for p in r[c]] for c in ("low", "high")] for r in ranges]
@@ -238,9 +236,10 @@ def longest_earlier_matches(suffixes: DataFrame, width: int) -> DataFrame:
             carried[t][side] = into
             through = ranges[t]["through"]
             out = [min(x for x in (p, q) if x is not None) if p is not None and d < through else q for d, (p, q) in enumerate(zip(into, lists[t][1 - side], strict=True))]
-    rows = [(r["part"], *[None if c is None else [None if p is None else _plain(p) for p in c] for c in both]) for r, both in zip(ranges, carried, strict=True)]
+    plain = lambda c: None if c is None else [None if p is None else dict(zip(place_type.names, _plain(p))) for p in c]
+    rows = [{"part": r["part"], "before": plain(a), "after": plain(b)} for r, (a, b) in zip(ranges, carried, strict=True)]
     carry_type = T.StructType([T.StructField("part", T.LongType()), T.StructField("before", T.ArrayType(place_type)), T.StructField("after", T.ArrayType(place_type))])
-    out = found.where("through IS NULL").select(*kept.names).join(F.broadcast(spark.createDataFrame(rows, carry_type)), "part", "left")
+    out = found.where("through IS NULL").select(*kept.names).join(F.broadcast(common.frame(suffixes.sparkSession, rows, carry_type)), "part", "left")
     place = F.struct("id", "row", "i")
 
     def beyond(carry: str, reach: str) -> F.Column:
@@ -278,6 +277,7 @@ def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         out = set(gone)
         kept.append("\n".join(x for n, x in enumerate(lines) if n not in out))
         removed.append(gone)
+    common.release()
     return pd.DataFrame({"text": kept, "removed": removed})
 
 
@@ -288,7 +288,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 25, doc_id: str = "doc_id", te
     held = common.stored(held, "line-dedup")
     found = common.stored(repeated_runs(held.select(F.col(f"_row.{doc_id}").alias("id"), F.col("_at").alias("row"), F.col(f"_row.{text}").alias("text")), min_words), "line-runs")
     joined = held.join(common.small(found.select(F.col("row").alias("_id"), "runs"), KEYS), F.col("_at") == F.col("_id"), "left")
-    without = F.pandas_udf(_without, "struct<text: string, removed: array<int>>")
+    # a filter on its result shall not run it a second time
+    without = F.pandas_udf(_without, "struct<text: string, removed: array<int>>").asNondeterministic()
     joined = joined.select("_row", "runs", without(F.when(F.col("runs").isNotNull(), F.col(f"_row.{text}")), "runs").alias("_new"))
     values = [F.when(F.col("runs").isNull(), F.col(f"_row.{text}")).otherwise(F.col("_new.text")).alias(text) if c == text else F.col(f"_row.{c}").alias(c) for c in columns]
     return joined.select(*values, F.coalesce("_new.removed", F.array().cast("array<int>")).alias("removed_lines"))

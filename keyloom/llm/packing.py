@@ -104,7 +104,7 @@ class Encoder:
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(x) for x in ranks]
         self.unchecked = CHECKED
-        self.pieces = Pieces(self._learn, self._learn_spaced, 600_000)
+        self.pieces = Pieces(self._learn, self._learn_spaced, 200_000)
 
     def _check(self, texts: list[str], ids: list[bytes]) -> None:
         n = min(self.unchecked, len(texts))
@@ -162,13 +162,14 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, close: int = 1, d
                     for s in range(0, n, window):
                         rows.extend((number, s, min(window, n - s), zlib.crc32(got[4 * s : 4 * (s + window)]), n))
                     number += 1
+        encoder.pieces.forget()
         if number:
             of, *columns = np.frombuffer(rows, np.int64).reshape(-1, 5).T
             sequence, offset, _ = best_fit_decreasing(columns[1], window)
             whole = pa.chunked_array(ids).take(pa.array(of))
             yield from pa.Table.from_arrays([whole, *map(pa.array, columns), pa.array(base + sequence), pa.array(offset)], [c.split()[0] for c in SCHEMA.split(", ")]).to_batches(50_000)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text")).mapInArrow(task, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text")).mapInArrow(common.lean(task), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,11 @@ class Pieces:
         self.bare: dict = {}
         self.spaced: dict = {}
 
+    def forget(self) -> None:
+        """For the end of a task: the worker may go on to another stage."""
+        self.bare.clear()
+        self.spaced.clear()
+
     def look_up(self, texts: list[str]) -> list[list]:
         """The values of each text's pieces, in order."""
         cuts = [pieces(t) for t in texts]

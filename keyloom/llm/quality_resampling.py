@@ -46,6 +46,12 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forget() -> None:
+    """Gives memory back at the end of a task: the worker may go on to another stage."""
+    _hashes.clear()
+    common.release()
+
+
 def ngrams(text: str, buckets: int) -> np.ndarray:
     """Buckets of a text's words and pairs of adjacent words."""
     words = TOKEN.findall(text)
@@ -65,6 +71,7 @@ def models(docs: DataFrame, target: DataFrame, buckets: int, doc_id: str, text:
                 sums[0] += found
                 if good:
                     sums[1] += found
+        _forget()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "target"])
 
     flagged = docs.select(F.col(doc_id).alias("id"), common.text_of(text).alias("text")).join(F.broadcast(target.select(F.col(doc_id).alias("id"), F.lit(True).alias("good"))), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -118,6 +125,7 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, seed: in
     def log_weight(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([float(ratio[ngrams(t, buckets)].sum()) for t in texts], dtype="float64")
+        _forget()
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 11) + 0.5) / F.lit(2.0**53)
     scored = docs.select(F.col(doc_id).alias("doc_id"), log_weight(common.text_of(text)).alias("log_weight"), (-F.log(-F.log(uniform))).alias("noise"))

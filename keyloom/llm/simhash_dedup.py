@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
+        common.release()
 
     return docs.select(F.col(doc_id).alias("doc_id"), fp(common.text_of(text)).alias("fp"))
 
@@ -152,7 +153,7 @@ def _linked(rows: DataFrame, keys: list[str], radius: int, most: int | None) ->
             yield from out(np.concatenate(held, axis=1))
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*keys, "fp").repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long, v long")
+    return rows.select(*keys, "fp").repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(common.lean(task), "a long, b long, v long")
 
 
 def _tables(fps: DataFrame, radius: int, step: int, v: str, key: str) -> DataFrame:
@@ -206,7 +207,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 keys.append(bands(hashes).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
 
-    return docs.mapInArrow(task, "doc_id long, node binary, fp long, keys array<long>")
+    return docs.mapInArrow(common.lean(task), "doc_id long, node binary, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -222,7 +223,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     sets.append(np.unique(hashes).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    rows = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text").mapInArrow(task, "node binary, hashes binary")
+    rows = docs.join(wanted, F.col("doc_id") == F.col("first_id")).select("node", "text").mapInArrow(common.lean(task), "node binary, hashes binary")
     return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
@@ -236,6 +237,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
+        common.release()
         return pd.Series(out, dtype="float64")
 
     own, other = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
@@ -272,6 +274,7 @@ def _similar_within(members: DataFrame, similarity: float, block: int = BLOCK) -
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].tolist()
+        common.release()
         found = joined_sets([np.frombuffer(x, np.uint64) for x in group["hashes"]], group["label"].to_numpy(), similarity)
         return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=object)
 

@@ -147,6 +147,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, text: str =
                 for i, s in enumerate(split, a):
                     out[i] = len(s) - 1 + sum(next(got) for _ in s)
             yield pd.Series(out)
+        counter.known.clear()
+        counter.pieces.forget()
+        common.release()
 
     whole = common.text_of(text)
     return docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": n_tokens(whole)}).withColumn("over_limit", F.col("n_tokens") > limit)
