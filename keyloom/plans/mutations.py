@@ -324,7 +324,7 @@ def batch_preserve(spark, d):
 
 @query("select cast((rn - 1) // 10 as bigint) batch, min(o_orderkey) lo, max(o_orderkey) hi, count(*) n from (select o_orderkey, row_number() over (order by o_orderkey) rn from orders) group by 1")
 def batch_incremental(spark, d):
-    rows = reduce(DataFrame.union, batches.incremental_batches(_orders(spark, d).select("o_orderkey"), "o_orderkey", 10, 50_000))
+    rows = batches.incremental_batches(_orders(spark, d).select("o_orderkey"), "o_orderkey", 10, 50_000)
     return rows.groupBy("batch").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count("*").alias("n"))
 
 

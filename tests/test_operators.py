@@ -345,3 +345,32 @@ def test_forgetting_deletes(spark, tmp_path):
     s.put("t", spark.createDataFrame([(1, 1, True), (2, 9, True), (3, 1, False)], "k int, seq int, deleted boolean"), ["k"])
     forget(s, "t", F.col("seq") < 5)
     assert sorted(r.k for r in s["t"].df.collect()) == [2, 3]
+
+
+def test_incremental_batches_at_a_step_s_end(spark, tmp_path):
+    """Records of one key on both sides of a step's end all count."""
+    from keyloom.plans import mutations
+
+    rows = spark.range(100_000).select(F.greatest("id", F.lit(3)).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"))
+    rows.union(rows.where("o_orderkey IN (49999, 99990)")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = mutations.batch_incremental(spark, str(tmp_path)).orderBy("batch").collect()
+    keys = sorted([max(i, 3) for i in range(100_000)] + [49999, 99990])
+    assert [tuple(r[c] for c in ("batch", "lo", "hi", "n")) for r in got] == [(i // 10, keys[i], keys[min(i + 10, len(keys)) - 1], min(10, len(keys) - i)) for i in range(0, len(keys), 10)]
+
+
+def test_incremental_batches_number_every_record(spark):
+    keys = [None, None, None, *range(20), 7, 7, 7, 7]
+    got = batches.incremental_batches(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 3, 7).collect()
+    ordered = sorted(keys, key=lambda k: -1 if k is None else k)
+    want = [(k, i // 7, i // 7 * 3 + i % 7 // 3) for i, k in enumerate(ordered)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_incremental_batches_need_no_job_for_each_step(spark):
+    jobs = []
+    for step in (500, 5):
+        spark.sparkContext.setJobGroup(f"step-{step}", "")
+        assert batches.incremental_batches(spark.range(500), "id", 5, step).agg(F.max("batch")).first()[0] == 99
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step-{step}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
