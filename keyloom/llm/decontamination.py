@@ -58,11 +58,10 @@ def _fingerprints(rows: DataFrame, key: list[str]) -> DataFrame:
     lanes, bits = 0x0000000100000001, 32
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(bits)]
     summed = rows.groupBy(*key).agg(F.count("*").alias("n"), *sums)
-    signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(64)]
-    fp = [F.when(2 * F.shiftrightunsigned(f"s{i}", bits * k).bitwiseAND(F.lit(0x7FFFFFFF)) > F.col("n"), F.lit(signed[i + bits * k]).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits) for k in range(2)]
-    while len(fp) > 1:
-        fp = [a.bitwiseOR(b) for a, b in zip(fp[::2], fp[1::2], strict=True)]
-    return summed.select(*key, fp[0].alias("fp"))
+    # one expression for all bits: a tree of 64 costs the driver tens of megabytes with every plan that holds it
+    of_bit = f"shiftrightunsigned(sums[b % {bits}], IF(b < {bits}, 0, {bits})) & 2147483647L"
+    fp = F.expr(f"aggregate(sequence(0, 63), 0L, (fp, b) -> fp | IF(2 * ({of_bit}) > n, shiftleft(1L, b), 0L))")
+    return summed.select(*key, "n", F.array(*[f"s{i}" for i in range(bits)]).alias("sums")).select(*key, fp.alias("fp"))
 
 
 def _changes(radius: int) -> list[int]:
@@ -71,19 +70,27 @@ def _changes(radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(most + 1) for c in combinations(range(BLOCK_BITS), r)]
 
 
-def _blocks(fp: str, changes: list[int]) -> F.Column:
-    one = lambda k, c: F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, k * BLOCK_BITS).bitwiseAND(F.lit(255)).bitwiseXOR(F.lit(c).cast("long")).alias("value"))
-    return F.explode(F.array(*[one(k, c) for k in range(BLOCKS) for c in changes]))
+def _blocks(rows: DataFrame, changes: list[int], *keep: str) -> DataFrame:
+    """keep, block and value: each row's fp by blocks, with all given changes."""
+    codes = [k << BLOCK_BITS | c for k in range(BLOCKS) for c in changes]  # one literal, not an expression for each
+    coded = rows.select(*keep, "fp", F.explode(F.lit(codes)).alias("code")).withColumn("block", F.shiftright("code", BLOCK_BITS))
+    value = F.expr(f"shiftrightunsigned(fp, block * {BLOCK_BITS}) & 255L ^ (code & 255)")
+    return coded.withColumn("value", value).drop("code")
 
 
-def _hits(docs: DataFrame, items: DataFrame, shingle: int) -> DataFrame:
-    """Where documents have shingles of items: row, size, p (position) and lengths (of the items)."""
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint to send it to all tasks, if most, a bound of its rows, allows it. No job counts them."""
+    return F.broadcast(df) if most <= BROADCAST else df
+
+
+def _hits(docs: DataFrame, items: DataFrame, sizes: list[int], n_hashes: int) -> DataFrame:
+    """Where documents have shingles of items, n_hashes in all: row, size, p (position) and lengths (of the items)."""
     known = items.select("size", "length", F.explode("hashes").alias("h"))
     spread = []
-    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
+    for size in sizes:
         own = known.where(F.col("size") == size).groupBy("h").agg(F.collect_set("length").alias("lengths"))
         runs = docs.where(F.size("words") >= size).select("row", F.lit(size).alias("size"), F.posexplode(_hashes("words", size)).alias("p", "h"))
-        spread.append(runs.join(common.small(own, BROADCAST), "h").select("row", "size", "p", "lengths"))
+        spread.append(runs.join(_sent(own, n_hashes), "h").select("row", "size", "p", "lengths"))
     return reduce(DataFrame.union, spread)
 
 
@@ -102,13 +109,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     whole = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item_words")).where(F.size("item_words") > 0)
     whole = whole.withColumns({"item": F.monotonically_increasing_id(), "size": F.least(F.size("item_words"), F.lit(shingle))})
     items = common.cut(whole.select("item", "item_id", "size", _shingles("item_words", "size", shingle).alias("hashes"), F.size("item_words").alias("length")))
-    if not items.take(1):
+    n_items, n_hashes, sizes = items.agg(F.count("*"), F.sum(F.size("hashes")), F.sort_array(F.collect_set("size"))).first()
+    if not n_items:
         kinds = {c: docs.schema[doc_id].dataType.simpleString() if c == "doc_id" else items.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start int, n_words int, distance int, similarity double")
     texts = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text")).alias("row"), F.col(text).alias("text"))
 
     # windows worth a fingerprint
-    places = common.stored(_places(_hits(texts.select("row", _words("text").alias("words")), items, shingle), similarity), "decontamination-places")
+    places = common.stored(_places(_hits(texts.select("row", _words("text").alias("words")), items, sizes, n_hashes), similarity), "decontamination-places")
     named = common.small(places.select(F.col("row").alias("at")).distinct(), KEYS)
     listed = texts.join(named, F.col("row").eqNullSafe(F.col("at")), "left_semi").select("row", _words("text").alias("words"))
     found = listed.join(places.withColumnRenamed("row", "at"), F.col("row").eqNullSafe(F.col("at")))
@@ -123,15 +131,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     item_shingles = items.select("item", F.explode("hashes").alias("h"))
     fps = _fingerprints(shingles, ["content", "length"])
     item_fps = _fingerprints(item_shingles, ["item"]).join(items.select("item", "length"), "item")
-    left = fps.select("content", "length", "fp", _blocks("fp", [0]).alias("x")).select("content", "length", "fp", "x.*")
-    right = item_fps.select("item", "length", F.col("fp").alias("item_fp"), _blocks("fp", _changes(radius)).alias("x")).select("item", "length", "item_fp", "x.*")
-    pairs = left.join(common.small(right, BROADCAST), ["length", "block", "value"]).select("content", "item", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+    changes = _changes(radius)
+    left, right = _blocks(fps, [0], "content", "length"), _blocks(item_fps, changes, "item", "length").withColumnRenamed("fp", "item_fp")
+    pairs = left.join(_sent(right, n_items * BLOCKS * len(changes)), ["length", "block", "value"]).select("content", "item", "length", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
     pairs = common.stored(pairs, "decontamination-pairs")
 
     # exact similarity of the candidates: the weights of their own windows and items only
     weights = shingles.join(common.small(pairs.select("content").distinct(), KEYS), "content", "left_semi").groupBy("content", "h").agg(F.count("*").alias("w"))
     item_weights = item_shingles.groupBy("item", "h").agg(F.count("*").alias("iw"))
-    both = pairs.join(weights, "content").join(common.small(item_weights, BROADCAST), ["item", "h"]).groupBy("content", "item", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
+    both = pairs.join(weights, "content").join(_sent(item_weights, n_hashes), ["item", "h"]).groupBy("content", "item", "length", "distance").agg(F.sum(F.least("w", "iw")).alias("both"))
     n = F.col("length") - F.col("size") + 1
     of_pair = both.join(items.select("item", "item_id", "size"), "item")
     alike = of_pair.withColumn("similarity", F.col("both") / (2 * n - F.col("both"))).where(F.col("similarity") >= similarity - 1e-9)

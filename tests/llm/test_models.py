@@ -385,3 +385,18 @@ def test_line_stage_without_n_chars(spark):
     docs = spark.createDataFrame([(1, lines), (2, lines), (3, None), (4, "own words")], "doc_id long, text string")
     out = line_dedup.line_stage(spark, docs, "")
     assert out.columns == ["doc_id", "text"] and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+def test_fingerprints_and_blocks_of_small_plans(spark):
+    """Every bit's majority, the sign's too, and every change of every block; the plan, which the driver holds and sends, has no expression for each."""
+    r = random.Random(3)
+    rows = [(k, r.getrandbits(64) - (1 << 63)) for k in range(40) for _ in range(1 + k % 7)]
+    fps = decontamination._fingerprints(spark.createDataFrame(rows, "key long, h long"), ["key"])
+    of = lambda k, b: [h >> b & 1 for i, h in rows if i == k]
+    want = {k: sum(1 << b for b in range(64) if 2 * sum(of(k, b)) > len(of(k, b))) for k in range(40)}
+    assert {x.key: x.fp % (1 << 64) for x in fps.collect()} == want and max(want.values()) >> 63
+    assert len(fps._jdf.queryExecution().analyzed().toString()) < 5_000
+    changes = decontamination._changes(23)
+    blocks = decontamination._blocks(fps, changes, "key")
+    assert sorted((x.key, x.block, x.value) for x in blocks.collect()) == sorted((k, i, (v >> 8 * i & 255) ^ c) for k, v in want.items() for i in range(8) for c in changes)
+    assert blocks.count() == 40 * 8 * 37 and "struct" not in blocks._jdf.queryExecution().optimizedPlan().toString()
