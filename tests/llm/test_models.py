@@ -80,6 +80,68 @@ def test_all_pairs_are_counted(docs):
     assert np.allclose(classes.follow, whole.follow)
 
 
+def test_words_go_on_and_stop_as_counted(docs):
+    """Log probabilities inside words against plain counts, over all bundles; what can follow has probability one together."""
+    rows = docs.select("doc_id", (F.col("doc_id") % 7 == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    corpus = lm_scoring.bundles(rows, RANKS).cache()
+    none, starts = np.zeros(0, np.int64), lm_scoring.begins(RANKS)
+    classes = attention.Classes(lm_scoring.subword_counts(corpus), none, none, 512, 96, starts)
+    table = lm_scoring.pair_counts(corpus, classes).collect()
+    classes.follow_by(lm_scoring._cells(docs.sparkSession.createDataFrame(table), 513 * classes.outputs))
+    bundles = [r.asDict(recursive=True) for r in corpus.collect()]
+    pairs, inside, words = collections.Counter(), collections.Counter(), {}
+    for i, row in enumerate(bundles):
+        whole, ends, sizes = lm_scoring._ids(row)
+        pieces, first = lm_scoring._pieces(row, sizes)
+        words[i] = [tuple(pieces[a : a + n].tolist()) for a, n in zip(first, sizes)]
+        assert all(starts[w[0]] and not starts[list(w[1:])].any() for w in words[i])
+        for held, a, b in zip(row["held"], [0, *ends.tolist()], ends.tolist()):
+            last = lm_scoring.VOCABULARY - 1
+            for w in () if held else [words[i][x] for x in whole[a:b]]:
+                pairs.update(zip((last, *w[:-1]), w))
+                last = w[-1]
+                inside.update(zip((None, *w[:-1]), w, (*w[1:], None)))
+    pairs = {k: n for k, n in pairs.items()}
+    follows, of_class, contexts = collections.defaultdict(list), collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        follows[a].append(b)
+        of_class[a, classes.out[b]] += n
+    for (a, b, c), n in inside.items():
+        contexts[a, b] += 0 if b == lm_scoring.VOCABULARY - 1 else n
+
+    def after(b, c):  # probability by pairs
+        if c is None:
+            return np.exp(classes.left[classes.into[b]])
+        share, own = classes.within[c], classes.out[c]
+        within = (pairs.get((b, c), 0) + attention.PRIOR * share) / (of_class[b, own] + attention.PRIOR) if share < 1 else 1
+        return np.exp(classes.follow[classes.into[b], own]) * within
+
+    seen = 0
+    for i, row in enumerate(bundles):
+        row["pairs"] = [r.asDict() for r in table if r.bundle == row["bundle"]]
+        own = lm_scoring._Keys(row)
+        got = lm_scoring._inside(own, *lm_scoring._counted(row, own, classes, lm_scoring._buckets(docs.sparkSession)), classes)
+        for w, x in zip(words[i][:-1], got[:-1]):
+            steps = zip((None, *w[:-1]), w, (*w[1:], None))
+            assert math.isclose(x, sum(math.log((inside[a, b, c] + attention.PRIOR * after(b, c)) / (contexts[a, b] + attention.PRIOR)) for a, b, c in steps), rel_tol=1e-4, abs_tol=1e-4)
+            seen += len(w) > 1
+        assert got[-1] == 0
+    assert len(bundles) > 1 and seen > 10
+    b = words[0][0][0]
+    assert abs(sum(after(b, c) for c in [None, *np.flatnonzero(~starts).tolist()]) - 1) < 1e-3
+
+
+def test_windows_are_of_words(docs):
+    """Attention costs by word, of however many subwords; all windows of training texts train."""
+    r = random.Random(9)
+    texts = [(i, i % 5 == 0, " ".join("".join(r.choices("qxzjkv0123", k=30)) for _ in range(n))) for i, n in enumerate(r.choices(range(120), k=40))]
+    row = lm_scoring.bundles(docs.sparkSession.createDataFrame(texts, "doc_id long, held_out boolean, text string").coalesce(1), RANKS).first().asDict(recursive=True)
+    classes = attention.Classes(np.ones(lm_scoring.VOCABULARY, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 512, 96)
+    c, y = lm_scoring._training_windows(row, classes, 1)
+    assert len(c) == len(y) == sum(-(-(len(t.split()) + 1) // attention.STRIDE) for _, held, t in texts if not held)
+    assert (y >= 0).sum() == sum(len(t.split()) + 1 for _, held, t in texts if not held)
+
+
 def small_model():
     r = np.random.default_rng(0)
     n = 12
@@ -158,6 +220,26 @@ def test_windows_score_every_place_once():
     assert at[:, attention.STRIDE :][inside[:, attention.STRIDE :]].tolist() == list(range(90))
 
 
+def test_windows_laid_out_at_once():
+    ends = np.array([1, 17, 17 + 16, 90])
+    ids = np.random.default_rng(6).integers(0, 50, 90)
+    at, inside = attention.windows(ends)
+    assert (attention.in_windows(ids, ends, -1) == np.where(inside, ids[np.clip(at, 0, 89)], -1)).all()
+    assert attention.in_windows(ids[:0], ends[:0], -1).shape == (0, attention.WIDTH)
+
+
+def test_logits_out_of_range():
+    """Exponentials beyond the type's range are taken again from each row's largest."""
+    classes, p, n = small_model()
+    p["o"] *= 3000
+    ids = np.random.default_rng(4).integers(0, n - 1, 45)
+    logs = attention.Scorer(p, classes).log_probabilities(ids, np.array([20, 45]))
+    assert np.isfinite(logs).all() and (logs <= 1e-3).all()
+    c, y = np.random.default_rng(1).integers(0, 6, (3, attention.WIDTH)), np.random.default_rng(2).integers(0, 4, (3, attention.STRIDE))
+    loss, grad = attention.gradients(p, c, y)
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+
+
 def test_training_follows_the_gradient():
     classes, p, n = small_model()
     r = np.random.default_rng(3)
