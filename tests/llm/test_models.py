@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 import random
 import re
 import zlib
@@ -254,6 +255,15 @@ def test_training_follows_the_gradient():
     assert after > before + 50
 
 
+def test_training_leaves_types_of_pickles():
+    """With them add.at would take many times as long in tasks."""
+    classes, p, n = small_model()
+    p = pickle.loads(pickle.dumps(p))
+    c, y = np.random.default_rng(1).integers(0, 6, (3, attention.WIDTH)), np.random.default_rng(2).integers(0, 4, (3, attention.STRIDE))
+    got = attention.train(p, c, y, 0.01, 1, 1)
+    assert all(x.dtype is np.dtype(np.float32) for x in got.values())
+
+
 def test_label_model_recovers_the_truth():
     """Voters of known accuracy, some of which repeat each other: posteriors rank the truth and beat the vote."""
     r = np.random.default_rng(6)
