@@ -143,6 +143,35 @@ def test_windows_are_of_words(docs):
     assert (y >= 0).sum() == sum(len(t.split()) + 1 for _, held, t in texts if not held)
 
 
+def test_attention_reaches_inside_words(spark):
+    """A word's last subword follows the word before it, which the two subwords before do not tell; attention over every subword does."""
+    r = random.Random(3)
+    tails = {"red": "ka", "blue": "mi"}
+    ids = [lm_scoring.subwords([f"qzx{t}"], RANKS)[0].tolist() for t in tails.values()]
+    assert ids[0][:-1] == ids[1][:-1] and len(ids[0]) >= 3 and ids[0][-1] != ids[1][-1]
+
+    def text(swapped):
+        colours = r.choices(list(tails), k=40)
+        return " ".join(f"{c} qzx{tails[c] if not swapped else tails['red' if c == 'blue' else 'blue']}" for c in colours)
+
+    rows = [(i, text(False), False) for i in range(600)] + [(1000 + i, text(i % 2 == 1), True) for i in range(20)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(2), RANKS).where("held_out").collect()
+    mean = [np.mean([x.score for x in got if x.doc_id % 2 == k]) / 40 for k in (0, 1)]
+    assert mean[0] > mean[1] + 0.5  # to the base of 10, for each pair of words
+
+
+def test_every_subword_is_predicted(docs):
+    """Windows that train hold each subword id of the training texts, and each text's end, once."""
+    r = random.Random(9)
+    texts = [(i, i % 5 == 0, " ".join("".join(r.choices("qxzjkv0123", k=30)) for _ in range(n))) for i, n in enumerate(r.choices(range(120), k=40))]
+    row = lm_scoring.bundles(docs.sparkSession.createDataFrame(texts, "doc_id long, held_out boolean, text string").coalesce(1), RANKS).first().asDict(recursive=True)
+    none = np.zeros(0, np.int64)
+    classes = attention.Classes(np.ones(lm_scoring.VOCABULARY, np.int64), none, none, 512, 96)
+    _, y = lm_scoring._training_windows(row, classes, 1, lm_scoring._subwords)
+    want = [[*lm_scoring.subwords(t.split(), RANKS)[0].tolist(), lm_scoring.VOCABULARY - 1] for _, held, t in texts if not held]
+    assert y[y >= 0].tolist() == classes.out[np.concatenate(want)].tolist()
+
+
 def small_model():
     r = np.random.default_rng(0)
     n = 12
